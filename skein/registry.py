@@ -1,0 +1,46 @@
+"""Queries of the library over the test tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import vectors as V
+from skein.operators import retrieval as R
+from skein.plans.layout import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def first_vector(spark: SparkSession, d: str, ident: int = 0):
+    return R.literal_vector(table(spark, d, "embeddings").where(F.col("vec_id") == ident).select("embedding").first()[0])
+
+
+@query("""
+WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS score FROM embeddings, q WHERE label IN (1, 3, 5))
+SELECT CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10""")
+def topk_filtered(spark, d):
+    rows = R.metadata_filter(table(spark, d, "embeddings"), {"label": {"$in": [1, 3, 5]}})
+    return R.top_k(rows, V.cosine(F.col("embedding"), first_vector(spark, d)), "vec_id", 10).select("rank", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
