@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, neardup, reading, sentences, splitting, tokenizing, topn
+from skein.llm import knn, mixing, neardup, reading, sentences, splitting, tokenizing, topn
 from skein.plans.layout import cut, table
 
 
