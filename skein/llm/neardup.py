@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.plans.layout import cut, spread
 
 BANDS, ROWS = 50, 6
 #: 64-bit words of a bitmap.
-BITMAP = 8
+BITMAP = 4
 #: Rows of a tile: buckets above it are split into pairs of tiles, each its own group.
 TILE = 2048
 #: Up to this size, buckets of a batch are compared together, neighbour by neighbour.
@@ -192,11 +192,11 @@ def class_links(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     named = members.groupBy("bag").agg(F.min("id").alias("class"))
     one = rows.groupBy("bag").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("elements").alias("elements"))
     one = cut(one)
-    # the count of a bucket decides whether it is split; equal bags were merged before, so copies make no hot bucket
-    entries = one.select(F.explode("bands").alias("key"), "class", "n", "bits")
-    counts = one.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1")
+    # the count of a bucket decides whether it is split; equal bags were merged before, so copies make no hot bucket.
+    # Keys travel without the bitmaps, which only the classes that meet another one need
+    entries = one.select(F.explode("bands").alias("key"), "class").withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
     tiles = F.ceil(F.col("count") / TILE).cast("int")
-    placed = entries.join(counts, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    placed = entries.join(one.select("class", "n", "bits"), "class").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     others = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("x"), F.greatest(k, F.col("tile")).alias("y"))))
     cells = placed.withColumn("at", F.explode(others)).select(
