@@ -1,0 +1,222 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from skein.functions import routing
+from skein.functions import text as T
+from skein.functions import vectors as V
+from skein.operators import chunking as C
+from skein.operators import graph as G
+from skein.operators import ranking as K
+from skein.operators import retrieval as R
+from skein.operators import semantic as S
+from skein.plans import patterns as P
+from skein.sources import files
+
+
+def one(spark, text):
+    return spark.createDataFrame([(1, text)], "doc_id long, text string")
+
+
+def test_fixed_chunks_cover_the_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(4131))
+    rows = C.fixed_chunks(one(spark, text), "doc_id", "text", 300, 50).orderBy("chunk_id").collect()
+    assert len(rows) == 17 and rows[-1].start_pos == 4000 and rows[-1].end_pos == 4131
+    assert all(r.text == text[r.start_pos : r.end_pos] for r in rows)
+    assert C.fixed_chunks(one(spark, text), "doc_id", "text", 300, 0).count() == 14
+
+
+def test_windows_of_null_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a😀é")], "doc_id long, text string")
+    assert [r.text for r in C.fixed_chunks(df, "doc_id", "text", 2, 1).orderBy("chunk_id").collect()] == ["a😀", "😀é", "é"]
+    assert C.sentence_windows(df.where("doc_id < 3"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(50, 50), (0, 0), (10, -1)])
+def test_bad_sizes(spark, size, overlap):
+    with pytest.raises(ValueError):
+        C.fixed_chunks(one(spark, "x"), "doc_id", "text", size, overlap)
+
+
+def test_stride_sweep(spark):
+    rows = {r.stride: r.chunks for r in C.stride_sweep(one(spark, "x" * 4131), "doc_id", "text", (30, 150, 270, 300, 60, 210)).collect()}
+    assert rows == {30: 138, 150: 28, 270: 16, 300: 14, 60: 69, 210: 20}
+
+
+def test_packing_quirk_and_strict_form():
+    words = [f"w0{i}" for i in range(1, 9)]
+    assert list(C.Packer(" ", 6, 0, False).pack(words)) == ["w01", "w02 w03", "w04 w05", "w06 w07", "w07 w08"]
+    assert all(len(p) <= 7 for p in C.Packer(" ", 7, 0, True).pack(words))
+
+
+def test_recursive_chunks(spark):
+    text = "First part.\n\n" + "word " * 300 + "\n\nLast part."
+    rows = C.recursive_chunks(one(spark, text), "doc_id", "text", 100, 20, strict=True).collect()
+    assert len(rows) > 10 and all(len(r.text) <= 100 for r in rows)
+    assert C.recursive_chunks(one(spark, None), "doc_id", "text").count() == 0
+
+
+def test_markdown(spark):
+    text = "intro\n\n# A\n\nbody\n\n## B\n\nmore\n\n# C\n\nend"
+    rows = C.markdown_chunks(one(spark, text), "doc_id", "text").orderBy("chunk_id").collect()
+    assert [(r.heading_level, r.heading_path) for r in rows] == [(0, "Preamble"), (1, "A"), (2, "A > B"), (1, "C")]
+    split = C.markdown_chunks(one(spark, "# A\n\n" + "\n\n".join(["x" * 50] * 4)), "doc_id", "text", 80).collect()
+    assert any(r.text.startswith("[continued] A") for r in split) and all(r.is_split for r in split)
+
+
+def test_html(spark):
+    page = "<html><body><p>pre</p><h1>T</h1><p>a<b>b</b></p><h2>U</h2><div><h3>in</h3>c</div></body></html>"
+    rows = C.html_chunks(one(spark, page), "doc_id", "text").orderBy("chunk_id").collect()
+    assert [r.heading_path for r in rows][-2:] == ["T", "T > U"]
+    assert any(r.heading == "in" for r in C.html_chunks(one(spark, page), "doc_id", "text", recursive=True).collect())
+
+
+def test_sentence_offsets(spark):
+    text = "One two.  Three four!\nFive?"
+    rows = C.sentence_windows(one(spark, text), "doc_id", "text", 1, 1).orderBy("chunk_id").collect()
+    assert [text[r.start_pos : r.end_pos] for r in rows] == ["One two.", "Three four!", "Five?"]
+
+
+def sents(spark, angles):
+    return spark.createDataFrame([(1, i, f"s{i}", [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)], "doc_id int, pos int, sentence string, embedding array<double>")
+
+
+def test_percentile_counts(spark):
+    angles = [0.01 * i * i for i in range(33)]
+    for p in (10, 25, 40, 60, 75):
+        assert S.by_percentile(sents(spark, angles), "doc_id", p).count() == math.floor(p / 100 * 31) + 2
+
+
+def test_threshold_is_strict(spark):
+    rows = S.by_threshold(sents(spark, [0, math.pi / 3, 2 * math.pi / 3 + 0.01]), "doc_id", 0.5 - 1e-12).orderBy("chunk_id").collect()
+    assert [r.text for r in rows] == ["s0 s1", "s2"] and rows[1].avg_similarity == 1.0
+
+
+VECTORS = [("a", [0.8, 0.6]), ("b", [0.6, 0.8]), ("c", [0.6, -0.8])]
+
+
+def test_mmr(spark):
+    df = spark.createDataFrame(VECTORS, "id string, v array<double>")
+    rows = K.mmr(df, "id", "v", [1.0, 0.0], 3, 0.5).collect()
+    assert [r.id for r in rows] == ["a", "c", "b"]
+    assert [round(r.mmr_score, 6) for r in rows] == [0.4, 0.3, -0.18] and [round(r.redundancy, 6) for r in rows] == [0, 0, 0.96]
+    assert [r.id for r in K.mmr(df, "id", "v", [1.0, 0.0], 9, 1.0).collect()] == ["a", "b", "c"]
+
+
+def test_rrf(spark):
+    def ranks(ids):
+        return spark.createDataFrame([(1, x, i + 1) for i, x in enumerate(ids)], "query_id int, id string, rank int")
+
+    got = {r.id: round(r.score, 7) for r in K.rrf([ranks(["x", "y"]), ranks(["y", "z"])]).collect()}
+    assert got == {"y": 0.0325225, "x": 0.0163934, "z": 0.016129}
+
+
+def test_filters_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a", 3), (2, None, None), (3, "b", 5)], "id int, t string, y int")
+
+    def ids(f):
+        return sorted(r.id for r in R.metadata_filter(df, f).collect())
+
+    assert ids({"t": {"$ne": "a"}}) == [2, 3] and ids({"t": {"$nin": ["a"]}}) == [2, 3] and ids({"t": {"$in": ["a", "b"]}}) == [1, 3]
+    assert ids({"y": {"$gt": 3}}) == [3] and ids({"y": {"$gte": 3, "$lt": 5}}) == [1] and ids({}) == [1, 2, 3]
+    assert ids({"$or": [{"t": "a"}, {"y": 5}]}) == [1, 3]
+    with pytest.raises(ValueError):
+        R.condition({"t": {"$like": "a"}})
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id", "cast(id as string) t").write.parquet(str(tmp_path / "t"))
+    plan = R.metadata_filter(spark.read.parquet(str(tmp_path / "t")), {"id": {"$in": [1, 2]}, "t": {"$ne": "5"}})._jdf.queryExecution().executedPlan().toString()
+    assert "In(id" in plan and "Not(EqualNullSafe(t" in plan
+
+
+def test_topk_plan_and_ties(spark):
+    df = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, float("nan")), (4, None)], "id int, s double")
+    top = R.top_k(df, F.col("s"), "id", 2)
+    assert [r.id for r in top.orderBy("rank").collect()] == [1, 3]
+    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
+    zero, other = df.select(V.cosine(F.col("a"), F.col("b")).alias("c"), V.norm(F.col("a")).alias("n")).collect()
+    assert zero.c == 0 and round(other.c, 6) == 0.96 and other.n == 5
+    e = df.limit(1).select(V.pseudo_embedding(F.lit("x")).alias("x"), V.pseudo_embedding(F.lit("x")).alias("y"), V.pseudo_embedding(F.lit(None).cast("string")).alias("z")).first()
+    assert e.x == e.y and len(e.x) == 64 and e.z is None
+
+
+@pytest.mark.parametrize(("query", "want"), [("Explain the answer format", "standard"), ("What is gravity?", "direct"), ("Compare A and B", "iterative"), ("hello", "standard")])
+def test_strategy(spark, query, want):
+    assert spark.range(1).select(routing.strategy(F.lit(query)).alias("s")).first().s == want
+
+
+def test_labels(spark):
+    got = [r.x for r in spark.createDataFrame([(0.75,), (0.7499,), (0.45,), (0.4499,)], "s double").select(routing.relevance(F.col("s")).alias("x")).collect()]
+    assert got == ["correct", "ambiguous", "ambiguous", "wrong"]
+    c = spark.range(1).select(routing.composite(F.lit("relevant"), F.lit("fully"), F.lit("high")).alias("a"), routing.composite(F.lit("irrelevant"), F.lit("partially"), F.lit("medium")).alias("b")).first()
+    assert round(c.a, 6) == 1.0 and round(c.b, 6) == 0.43
+
+
+def test_calculate():
+    assert routing.calculate("2 * (3 + 4)") == "Calculation result: 2 * (3 + 4) = 14"
+    assert routing.calculate("__import__('os')").startswith("Calculation error") and routing.calculate(None).startswith("Calculation error")
+    assert routing.calculate("9**9**9").startswith("Calculation error")
+
+
+def edges(spark, pairs):
+    return spark.createDataFrame([(i, a, b, "r") for i, (a, b) in enumerate(pairs)], "edge_pos int, source_id string, target_id string, relation_type string")
+
+
+def test_traverse_order_and_cap(spark):
+    e = edges(spark, [("e8", "e1"), ("e8", "e9"), ("e1", "e2"), ("e1", "e3"), ("e9", "e1"), ("e1", "e13")])
+    start = spark.createDataFrame([(0, "e8"), (1, "e8")], "start_pos int, id string")
+    rows = G.traverse(e, start, 2, 10).orderBy("visit").collect()
+    assert [(r.parent_id, r.id) for r in rows] == [(None, "e8"), ("e8", "e1"), ("e8", "e9"), ("e1", "e2"), ("e1", "e3"), ("e1", "e13")]
+    assert [r.id for r in G.traverse(e, start, 2, 2).orderBy("visit").collect()] == ["e8", "e1", "e9"]
+
+
+def test_history_and_rewrite(spark):
+    turns = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(9)], "conv_id int, turn int, role string, text string")
+    rows = {r.turn: r for r in P.rewrite_turns(turns).collect()}
+    assert rows[0].rewritten == "m0" and rows[2].rewritten == "m2 (in the context of: m1...)" and rows[8].transcript.count("\n") == 5
+
+
+def test_streaming_memory_equals_batch(spark, tmp_path):
+    from skein.streaming.memory import remember
+
+    turns = spark.createDataFrame([(str(c), t, "user" if t % 2 == 0 else "assistant", f"m{c}{t}") for c in range(3) for t in range(9)], "conv_id string, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "t"))
+    q = remember(stream).writeStream.format("memory").queryName("memory_out").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.table("memory_out").select("conv_id", "turn", "rewritten", "transcript").collect())
+    assert got == sorted(tuple(r) for r in P.rewrite_turns(turns).select("conv_id", "turn", "rewritten", "transcript").collect())
+
+
+def test_records(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("# head\n---\n# second ---\nCHUNK_ID: 1\nTOPIC: a: b\nTEXT: one\nmore\n---\nCHUNK_ID: 2\nTEXT: two\n---\n\n---\nTOPIC: x\n")
+    rows = files.records(files.whole_files(spark, str(tmp_path / "r.txt"))).orderBy("id").collect()
+    assert [(r.id, r.topic, r.text) for r in rows] == [(1, "a", "one"), (2, None, "two")]
+
+
+def test_corrective_branches(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 1, 0.9, "x"), (1, 2, 0.5, "y"), (2, 1, 0.5, "z"), (3, 1, 0.1, "w")], "query_id long, rank int, score double, text string")
+    web = spark.createDataFrame([(f"web{i}",) for i in range(5)], "text string")
+    rows = {r.query_id: (r.action, r.context.count("[WEB]"), r.context.count("[VECTOR")) for r in P.corrective_context(hits, web, queries).collect()}
+    assert rows == {1: ("correct", 1, 1), 2: ("ambiguous", 2, 1), 3: ("wrong", 3, 0)}
+
+
+def test_structured_fallback(spark):
+    facts = spark.createDataFrame([(0, "revenue", "r"), (1, "employee_count", "e"), (2, "product_count", "p")], "key_pos int, key string, value string")
+    queries = spark.createDataFrame([(1, "Revenue count?"), (2, "zzz")], "query_id long, query string")
+    rows = [(r.query_id, r.text, r.score) for r in P.structured_hits(queries, facts).orderBy("query_id", "rank").collect()]
+    assert rows == [(1, "r", 1.0), (1, "e", 1.0), (2, "r", 0.5), (2, "e", 0.5)]
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("a b c", "")], "a string, b string")
+    r = df.select(T.word_count(F.col("a")).alias("a"), T.word_count(F.col("b")).alias("b"), T.trim_ws(F.lit("　x\n")).alias("t")).first()
+    assert (r.a, r.b, r.t) == (3, 0, "x")
