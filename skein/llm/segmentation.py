@@ -49,7 +49,7 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     "en": [
         (N, r"\b" + words("Dr Mr Mrs Ms Prof Gen Sen Rep Rev Hon Appx App Approx approx cf vs viz e.g i.e St Capt Messrs") + r"\.", r"\s"),
         (N, r"\b" + words("Fig Figs Sec Secs No Nos Eq Vol Ch p pp v rev ed ver art par cl") + r"\.", r"\s*\d"),
-        (B, r"\b(?:U\.S|U\.K|U\.N|E\.U)\.", rf"\s+[\"“'(]?[A-Z]|{SMALL_NAME}"),
+        (B, r"\b(?:U\.S|U\.K|U\.N|E\.U)\.", r"\s+[\"“'(]?[A-Z]|\s+[a-z][\w.-]*\s+(?:is|are|was|were)\s+(?:the|an?)\b"),
         (N, r"\b(?:U\.S|U\.K|U\.N|E\.U)\.", r"\s"),
         (N, r"\b" + words("al Inc Ltd Co Corp Bros Jr Sr a.m p.m Ph.D dept est") + r"\.", rf"\s*(?:{LOW}|\d|,)"),
         (B, r"\betc\.", SMALL_NAME),
