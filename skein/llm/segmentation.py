@@ -125,20 +125,22 @@ FUNCTION_WORDS = {
     "es": set("el la los las y es un una en que de del por con no se para al su lo".split()),
 }
 SCRIPT_RE = [(k, re.compile(v)) for k, v in SCRIPTS]
+OTHER_SCRIPT = re.compile("|".join(v for _, v in SCRIPTS))
+LETTER, LATIN_WORD = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
 def language_of(text: str, hint: str | None = None) -> str:
     """Language of the rules for a text: its script decides, the hint only among languages of one script."""
     code = re.split(r"[-_]", (hint or "").strip().lower())[0]
     code = ALIAS.get(code, code)
-    counts = {k: len(r.findall(text)) for k, r in SCRIPT_RE}
-    counts["ja"] *= 4
-    best = max(counts, key=counts.get)
-    letters = sum(c.isalpha() for c in text[:20000])
-    if counts[best] and counts[best] * 6 >= min(letters, 20000) * (1 if best != "ja" else 2):
-        return best
-    tokens = re.findall(r"[^\W\d_]+", text.lower())
-    score = {k: sum(t in w for t in tokens) for k, w in FUNCTION_WORDS.items()}
+    if OTHER_SCRIPT.search(text):
+        counts = {k: len(r.findall(text)) for k, r in SCRIPT_RE}
+        counts["ja"] *= 4
+        best = max(counts, key=counts.get)
+        if counts[best] and counts[best] * 6 >= len(LETTER.findall(text)) * (1 if best != "ja" else 2):
+            return best
+    tokens = LATIN_WORD.findall(text.lower())
+    score = {k: sum(map(w.__contains__, tokens)) for k, w in FUNCTION_WORDS.items()}
     top = max(score, key=score.get)
     if score[top] == 0 or (code in score and score[code] == score[top]):
         return code if code in LATIN else "en"
@@ -251,7 +253,7 @@ def sentences(text: str | None, hint: str | None = None) -> list[tuple[int, int]
                     j += 1
                 if j < len(closed) and closed[j][0] < p <= closed[j][1]:
                     continue
-                before, after = text[max(first, p - 48):p], text[p:min(end, p + 48)]
+                before, after = text[max(first, p - 32):p], text[p:min(end, p + 32)]
                 if ENDS_QUOTED.search(before) and CASELESS_NEXT.match(after) and text[first] in "“«「『\"‘":
                     if not any(first < s for s, e in closed if e < p):
                         continue
