@@ -24,7 +24,7 @@ ENDS = ".!?…。！？｡।॥؟۔"
 CLOSERS = "\"'”“»」』)）\\]】’"
 
 #: A paragraph ends at a blank line or at a separator character.
-PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n\u2028\u2029]*(?:\r\n|\n|\r)\s*|\s*[\u2029\x1c-\x1e]\s*")
+PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n\u2028\u2029]*(?:\r\n|\n|\r)\s*|[\u2029\x1c-\x1e]\s*")
 LINE = re.compile(r"\r\n|[\n\r\u2028\x85\x0b\x0c]")
 ITEM = re.compile(r"[^\S\n]*(?:[-*•‣▪·–]|\(?\d{1,3}[.)])[^\S\n]+\S")
 HEADING = re.compile(r"[^\S\n]*#{1,6}[^\S\n]+\S")
@@ -168,17 +168,18 @@ def units(text: str) -> list[tuple[int, int]]:
 def lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
     if not LINE.search(text, start, end):
         return [(start, end)]
-    out, open_at, at, alone = [], start, start, True
+    out, open_at, at, alone, filled = [], start, start, True, False
     for m in [*LINE.finditer(text, start, end), None]:
         stop = m.start() if m else end
         line = text[at:stop]
-        before = text[open_at:at].rstrip()
-        single = bool(HEADING.match(line)) or bool(ITEM.match(line) and (alone or not before or LIST_END.search(before)))
+        single = bool(HEADING.match(line)) or bool(ITEM.match(line) and (alone or not filled or LIST_END.search(text[max(open_at, at - 200) : at].rstrip())))
         if single:
-            if before:
+            if filled:
                 out.append((open_at, at))
             out.append((at, stop))
-            open_at = m.end() if m else end
+            open_at, filled = m.end() if m else end, False
+        elif not filled:
+            filled = bool(line.strip())
         alone = single
         at = m.end() if m else end
     if text[open_at:end].strip():
@@ -206,6 +207,8 @@ def masked(text: str, start: int, end: int) -> list[tuple[int, int]]:
             spans.append((stack.pop()[1], i))
         elif c in PAIRS:
             stack.append((c, i))
+            if len(stack) > 64:  # marks that nothing closes must not pile up
+                del stack[0]
     spans.sort()
     out: list[tuple[int, int]] = []
     for s, e in spans:

@@ -18,7 +18,7 @@ KINDS = ("paragraph", "sentence", "clause", "word", "character")
 PENALTY = (0.0, 1.0, 3.0, 6.0, 40.0)
 #: Weight of the squared relative difference of a piece's size from the limit.
 BALANCE = 1.0
-CLAUSE = re.compile(r"(?<=[,;:，、；：،؛—–])\s*(?=\S)|(?<=[,;:])\s+(?=\S)|\n+(?=\S)")
+CLAUSE = re.compile(r"(?<=[,;:，、；：،؛—–])\s*(?=\S)|(?<=[,;:])\s+(?=\S)|\n(?=\S)")
 WORD = re.compile(r"(?<=\s)(?=\S)")
 
 
