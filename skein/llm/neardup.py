@@ -223,24 +223,37 @@ def near_duplicate_pairs(df: DataFrame, ident: str, text: str, least_words: int
     return across.unionByName(copies).where("_x <> _y").select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, ident: str, text: str, least_words: int = 8, similarity: float = 0.7, rounds: int = 40) -> DataFrame:
-    """(id, class, links, group): the class of equal word multisets, its number of similar classes, and the group.
+def smallest_linked(links: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(class, group): the smallest class that the links (a, b) lead to, for every class with a link.
 
-    group is the smallest class that similar classes lead to, found by passing minima along links and jumping
-    through them, until nothing changes; each round is written to the shared folder. Records that take no part
-    (see near_duplicate_pairs) have no row; an id with several texts has a row for each of its classes.
+    Each round a class, and the class that its label names, take the smallest label of a label among its neighbours
+    (FastSV): whole trees are hooked, so that chains take rounds by the logarithm of their length. Labels only fall,
+    and once none does all linked classes agree; that many rounds are never needed, and going beyond them raises.
     """
-    members, links = class_links(cut(described(df, ident, text, least_words)), similarity)
-    links = cut(links)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = cut(both.select(F.col("a").alias("class")).distinct().withColumn("group", F.col("class")))
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("group").alias("_near"))
-        low = label.join(near, "class").select("class", "group", F.least("group", "_near").alias("_low"))
-        jump = low.join(label.select(F.col("class").alias("_low"), F.col("group").alias("_root")), "_low", "left")
-        fresh = cut(jump.select("class", F.least("_low", F.coalesce("_root", "_low")).alias("group"), (F.least("_low", F.coalesce("_root", "_low")) != F.col("group")).alias("_moved")))
+        named = label.join(label.select(F.col("class").alias("group"), F.col("group").alias("_grand")), "group").select("class", "group", "_grand")
+        near = both.join(named.select(F.col("class").alias("b"), "_grand"), "b").groupBy(F.col("a").alias("class")).agg(F.min("_grand").alias("_near"))
+        low = named.join(near, "class").select("class", "group", F.least("_grand", "_near").alias("_low"))
+        own = low.select("class", F.col("group").alias("_was"), F.least("group", "_low").alias("_low"))
+        hooked = low.select(F.col("group").alias("class"), F.lit(None).cast("long").alias("_was"), "_low")
+        fresh = cut(own.unionByName(hooked).groupBy("class").agg(F.min("_low").alias("group"), F.min("_was").alias("_was")))
         label = fresh.select("class", "group")
-        if fresh.where("_moved").isEmpty():
-            break
-    degree = both.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"))
+        if fresh.where("group < _was").isEmpty():
+            return label
+    raise RuntimeError(f"groups are not settled after {rounds} rounds")
+
+
+def near_duplicate_groups(df: DataFrame, ident: str, text: str, least_words: int = 8, similarity: float = 0.7, rounds: int = 1000) -> DataFrame:
+    """(id, class, links, group): the class of equal word multisets, its number of similar classes, and the group.
+
+    group is the smallest class that similar classes lead to, found by passing minima along links until nothing
+    changes (see smallest_linked); each round is written to the shared folder. Records that take no part (see
+    near_duplicate_pairs) have no row; an id with several texts has a row for each of its classes.
+    """
+    members, links = class_links(cut(described(df, ident, text, least_words)), similarity)
+    links = cut(links)
+    label = smallest_linked(links, rounds)
+    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     return members.join(label, "class", "left").join(degree, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "class").alias("group"))

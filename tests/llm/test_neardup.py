@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from skein.llm import neardup
 
@@ -74,6 +75,22 @@ def test_groups(spark):
     assert {r.id for r in out} == {i for i, t in rows if i is not None and t and len(neardup.words(t)) >= 8}
 
 
+def test_groups_of_long_chains(spark):
+    # every record is similar to the one before and the one after only
+    ids = np.random.default_rng(4).permutation(200).tolist()
+    rows = [(i, " ".join(f"c{2 * k + j}" for j in range(20))) for k, i in enumerate(ids)]
+    assert len(brute(rows)) == 199
+    out = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert {(r.id, r.group) for r in out} == {(i, 0) for i in ids}
+
+
+def test_unsettled_groups_raise(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        neardup.smallest_linked(links, 1)
+    assert {r.group for r in neardup.smallest_linked(links).collect()} == {0}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert neardup.near_duplicate_pairs(df, "id", "text").count() == 0
