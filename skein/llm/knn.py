@@ -2,9 +2,11 @@
 
 Vectors are normalised and go to the shard of a similar sampled vector (a pivot), so that tight groups stay together;
 those without a similar pivot go to the shard of the nearest centroid, and as queries also visit the shards whose
-centroid is nearly as near. In each shard a directed graph is grown: greedy searches over the graph so far propose the
+centroid is nearly as near. A tight group that fills more than one shard is split by centroids; its vectors also ask as many of
+the group's other shards as the sample shows to be needed. In each shard a directed graph is grown: greedy searches over the graph so far propose the
 neighbours of a block of new vectors, relaxed distance pruning keeps edges in diverse directions, and edges are
-entered backwards too. A beam search over the finished graph answers every query of the shard. All searches of a
+entered backwards too. A beam search over the finished graph answers every query of the shard; the beam is widened
+where sampled queries show that it misses neighbours. All searches of a
 block advance together as numpy matrices.
 """
 
@@ -30,6 +32,9 @@ DEGREE, SLACK, ALPHA = 10, 14, 1.15
 #: Beam widths of the searches that build and of those that answer, and how many beams a step expands.
 BUILD_BEAM, BEAM, STEP = 12, 14, 5
 BLOCK = 512
+#: Share of the nearest pivots that the asked shards of a split group must hold, share of the nearest vectors that a
+#: beam must find, and how many sampled queries tell both.
+COVER, FOUND, TRIAL = 0.97, 0.95, 256
 
 
 class Graph:
@@ -176,13 +181,34 @@ class Graph:
                 self.degree[of] = (chosen >= 0).sum(axis=1)
 
 
+def wide_enough(graph: Graph, k: int) -> int:
+    """The beam, doubled from the default, at which sampled rows find the share FOUND of their k nearest."""
+    x, n = graph.x, len(graph.x)
+    beam, few = max(BEAM, k + 1), min(k, n - 1)
+    rows = graph.order[-min(n, TRIAL) :]
+    if few < 1:
+        return beam
+    sims = x[rows] @ x.T
+    sims[np.arange(len(rows)), rows] = -2
+    least = np.partition(sims, n - few, axis=1)[:, n - few] - 1e-5
+    while beam < n:
+        got = [graph.search(x[rows[a : a + 32]], beam) for a in range(0, len(rows), 32)]
+        found, near = (np.concatenate(part) for part in zip(*got))
+        hits = ((near >= least[:, None]) & (found >= 0) & (found != rows[:, None])).sum(axis=1)
+        if np.minimum(hits, few).mean() >= FOUND * few:
+            break
+        beam *= 2
+    return beam
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest ids of each query among a shard's vectors, without the query's own id; -1 where fewer exist."""
     graph = Graph(x)
-    size = max(32, min(BLOCK, (1 << 25) // len(x)))
+    beam = wide_enough(graph, k)
+    size = max(32, min(BLOCK, (1 << 25) // max(len(x), 16 * beam)))
     out_ids, out_near = [], []
     for a in range(0, len(queries), size):
-        found, near = graph.search(queries[a : a + size], max(BEAM, k + 1))
+        found, near = graph.search(queries[a : a + size], beam)
         named = np.where(found >= 0, ids[np.maximum(found, 0)], -1)
         other = (found >= 0) & (named != query_ids[a : a + size, None])
         place = np.argsort(~other, axis=1, kind="stable")[:, :k]
@@ -222,7 +248,9 @@ def fit_centroids(sample: np.ndarray, shards: int, rounds: int = 8) -> np.ndarra
 class Router:
     """Centroids and pivots, fitted on a bounded sample, that send vectors to shards.
 
-    Pivots similar to each other belong to one shard, unless so many are that they stand for more than a shard.
+    Pivots similar to each other belong to one shard, unless so many are that they stand for more than a shard: then
+    each stays in its centroid's shard, and group_shards and asks tell which shards such a group has and how many of
+    them, those of the nearest centroids first, a vector asks.
     """
 
     def __init__(self, sample: np.ndarray, shards: int) -> None:
@@ -231,6 +259,7 @@ class Router:
         order = np.argsort(of, kind="stable")
         self.pivots, self.shard = sample[order], of[order].astype(np.int32)
         self.start = np.searchsorted(self.shard, np.arange(shards + 1))
+        self.split, self.group_shards, self.asks = np.full(len(sample), -1, np.int32), [], []
         if shards == 1:
             return
         root = np.arange(len(sample))
@@ -245,6 +274,12 @@ class Router:
             root = low
         size = np.bincount(root, minlength=len(sample))
         self.target = np.where(size[root] * shards <= len(sample), self.shard[root], self.shard)
+        for g in np.flatnonzero(size * shards > len(sample)):
+            members = np.flatnonzero(root == g)
+            if len(held := np.unique(self.shard[members])) > 1:
+                self.split[members] = len(self.asks)
+                self.group_shards.append(held)
+                self.asks.append(self.needed(members, held))
 
     def blocks(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """For the pivots of each shard: the rows that look at them, the first pivot, and the cosines."""
@@ -272,6 +307,27 @@ class Router:
             two.append(low + top[a, b])
         return np.concatenate(one), np.concatenate(two)
 
+    def needed(self, members: np.ndarray, held: np.ndarray, k: int = 5) -> int:
+        """How many of a group's shards, in each pivot's order, hold the share COVER of its nearest pivots of the group."""
+        rows = np.random.default_rng(13).permutation(members)[:TRIAL]
+        counts = np.zeros(len(held), np.int64)
+        for a in range(0, len(rows), 64):
+            part = rows[a : a + 64]
+            sims = self.pivots[part] @ self.pivots[members].T
+            sims[members[None] == part[:, None]] = -2
+            few = min(k, len(members) - 1)
+            near = members[np.argpartition(-sims, few - 1, axis=1)[:, :few]]
+            order = held[self.nearness(self.pivots[part], self.shard[part], held)]
+            place = (order[:, None, :] == self.shard[near][:, :, None]).argmax(axis=2)
+            counts += np.bincount(place.ravel(), minlength=len(held))
+        return 1 + int(np.searchsorted(np.cumsum(counts), COVER * counts.sum()))
+
+    def nearness(self, x: np.ndarray, home: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """For each vector the positions in held, its own shard first, then by the similarity of the centroids."""
+        sims = x @ self.centers[held].T
+        sims[held[None] == home[:, None]] = 2
+        return np.argsort(-sims, axis=1, kind="stable")
+
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The most similar pivot of each vector among the nearest centroids' pivots, and its cosine."""
         best, value = np.zeros(len(x), np.int64), np.full(len(x), -2, np.float32)
@@ -290,6 +346,14 @@ class Router:
         home = self.target[pivot]
         loose = np.flatnonzero(value < TIGHT)
         tight = np.flatnonzero(value >= TIGHT)
+        rows, shards, roles = [tight], [home[tight]], [np.zeros(len(tight))]
+        split = self.split[pivot[tight]]
+        for g in np.unique(split[split >= 0]):
+            own = tight[split == g]
+            more = self.group_shards[g][self.nearness(x[own], home[own], self.group_shards[g])[:, 1 : self.asks[g]]]
+            rows.append(np.repeat(own, more.shape[1]))
+            shards.append(more.ravel())
+            roles.append(np.ones(more.size))
         sims = x[loose] @ self.centers.T
         width = min(PROBES, len(self.centers))
         near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
@@ -297,7 +361,7 @@ class Router:
         first = near[np.arange(len(loose)), value.argmax(axis=1)]
         at, col = np.nonzero(value >= value.max(axis=1, initial=-2)[:, None] - NEAR)
         shard = near[at, col]
-        return np.concatenate([tight, loose[at]]), np.concatenate([home[tight], shard]).astype(np.int32), np.concatenate([np.zeros(len(tight)), shard != first[at]]).astype(np.int8)
+        return np.concatenate([*rows, loose[at]]), np.concatenate([*shards, shard]).astype(np.int32), np.concatenate([*roles, shard != first[at]]).astype(np.int8)
 
 
 def nearest_neighbours(df: DataFrame, ident: str, embedding: str, dim: int, k: int = 5) -> DataFrame:
@@ -402,7 +466,7 @@ def _by(column: str):
 
 
 def best_links(links: DataFrame, k: int) -> DataFrame:
-    """The k best distinct neighbours of each id; an id has at most PROBES * k links to begin with."""
+    """The k best distinct neighbours of each id; an id has at most k links from each shard that it asks."""
     pair = F.struct((-F.col("similarity")).alias("far"), F.col("neighbour").alias("neighbour"))
     one = links.groupBy("id").agg(F.array_sort(F.collect_list(pair)).alias("all"))
     first = F.aggregate("all", F.expr("cast(array() as array<struct<far: float, neighbour: bigint>>)"), lambda acc, p: F.when((F.size(acc) < k) & ~F.exists(acc, lambda q: q["neighbour"] == p["neighbour"]), F.concat(acc, F.array(p))).otherwise(acc))

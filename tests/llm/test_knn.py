@@ -41,6 +41,18 @@ def test_recall_many_shards(spark, monkeypatch):
     assert recall(got, truth(x, 5), 5) >= 0.9
 
 
+def test_recall_dense_group_over_many_shards(spark, monkeypatch):
+    # a third of the vectors lie around one direction and fill several shards
+    monkeypatch.setattr(knn, "SHARD", 400)
+    rng = np.random.default_rng(6)
+    center = rng.normal(size=16)
+    hot = center / np.linalg.norm(center) + 0.45 / 4 * rng.normal(size=(2000, 16))
+    x = np.concatenate([hot, clustered(4000, clusters=100)]).astype(np.float32)
+    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    want = truth(x, 5)[:2000]
+    assert recall(got, want, 5) >= 0.9
+
+
 def test_unstructured_vectors():
     x = np.random.default_rng(2).normal(size=(2000, 16)).astype(np.float32)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
