@@ -27,6 +27,8 @@ LEVELS = (1, 2, 3, 4, 5)
 #: Weight, in documents, of the mean grade in the grade of a word.
 PRIOR = 2.0
 RIDGE = 1.0
+#: Words of a run in which different words are counted, so that long and short texts compare.
+WINDOW = 200
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 URL = re.compile(r"(?:https?://|www\.|mailto:)\S+")
 QUOTED = re.compile(r"(?:^|(?<=[\s]))>+\s[^\n\r]*", re.M)
@@ -103,6 +105,20 @@ class Measures:
     size: int
 
 
+def diversity(ids: np.ndarray, window: int = WINDOW) -> float:
+    """The mean number of different words in all runs of `window` consecutive words, over window ** 0.8."""
+    n = len(ids)
+    window = min(n, window)
+    # a word counts in the runs that hold it but not its occurrence before
+    by = np.argsort(ids, kind="stable")
+    before = np.full(n, -1)
+    again = ids[by[1:]] == ids[by[:-1]]
+    before[by[1:][again]] = by[:-1][again]
+    at = np.arange(n)
+    runs = np.minimum(at, n - window) - np.maximum(before, at - window)
+    return float(np.maximum(runs, 0).sum() / (n - window + 1) / window**0.8)
+
+
 def measure(text: str | None) -> Measures | None:
     body = prose(text)
     words = words_of(body)
@@ -115,11 +131,10 @@ def measure(text: str | None) -> Measures | None:
     mixed = bool(THAI_OR_HAN.search(body))
     pieces = [p for p in (SPACE if THAI.search(body) else SENTENCE_END).split(body) if p.strip()]
     per = np.array([p.strip().count(" ") + 1 if not mixed or not THAI_OR_HAN.search(p) else len(p) / 2 for p in pieces] or [n])
-    window = ids[:200]
-    unspaced = sum(bool(THAI_OR_HAN.match(w)) for w in words[:400]) / min(n, 400) if mixed else 0.0
+    unspaced = sum(bool(THAI_OR_HAN.match(w)) for w in words) / n if mixed else 0.0
     plain = [
         np.log1p(len(body)), np.log1p(n), np.log1p(per.mean()), float((per > 25).mean()), float(lengths.mean()), float((lengths > 8).mean()),
-        len(np.unique(window)) / len(window) ** 0.8, float(of[:, 2].mean()), len(CLAUSE_MARK.findall(body)) / max(1, len(pieces)), unspaced,
+        diversity(ids), float(of[:, 2].mean()), len(CLAUSE_MARK.findall(body)) / max(1, len(pieces)), unspaced,
     ]
     return Measures(ids, plain, n)
 

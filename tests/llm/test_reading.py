@@ -3,6 +3,7 @@ import os
 import numpy as np
 import pytest
 
+from skein.llm import reading
 from skein.llm.reading import fit_ordinal, prose, reading_levels
 
 DATA = "/root/testdata/sf0.01"
@@ -52,3 +53,23 @@ def test_held_out_accuracy(spark):
     fit, held = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 > 0), labels.where((F.crc32(F.col("doc_id").cast("string")) % 4 == 0) & F.col("reading_level").between(1, 5))
     got = reading_levels(docs, fit).join(held.groupBy("doc_id").agg(F.avg("reading_level").alias("y")), "doc_id").where("level is not null").toPandas()
     assert len(got) > 10 and (np.abs(got.level - got.y) <= 1).mean() >= 0.8
+
+
+def test_diversity_of_the_whole_text():
+    rng = np.random.default_rng(5)
+    for n in (3, 150, 200, 201, 700):
+        ids = rng.integers(0, 120, n)
+        w = min(n, 200)
+        want = np.mean([len(set(ids[a : a + w])) for a in range(n - w + 1)]) / w**0.8
+        assert abs(reading.diversity(ids) - want) < 1e-9
+    names = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "rstvxz"]
+    opening, body = " ".join(["the cat sat on the mat."] * 40), " ".join(" ".join(names[k : k + 12]) + "." for k in range(0, 240, 12)) + " "
+    value = lambda t: reading.measure(t).plain[6]
+    assert value(opening + " " + body * 4) > 3 * value(opening)
+
+
+def test_unspaced_share_of_the_whole_text():
+    text = "plain words stand here. " * 120 + "\u4f60\u597d\u4e16\u754c\u3002" * 200
+    words = reading.words_of(reading.prose(text))
+    share = sum(bool(reading.THAI_OR_HAN.match(w)) for w in words) / len(words)
+    assert share > 0.3 and reading.measure(text).plain[-1] == share
