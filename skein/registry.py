@@ -219,7 +219,7 @@ def paragraphs(spark, d):
 
 @query()
 def chunk_overlaps(spark, d):
-    return C.shared_ends(fixed_chunks(spark, d), "doc_id", 60)
+    return C.shared_ends(fixed_chunks(spark, d), "doc_id")
 
 
 @query(f"""WITH c AS ({FIXED.format(step=250, size=300)}), t AS (SELECT doc_id, chunk_id, {trim('text')} AS b FROM c) SELECT doc_id, chunk_id, regexp_matches(b, '^[\\p{{Lu}}"''\\-]') AS starts_clean, regexp_matches(b, '[.!?:,]$') AS ends_clean FROM t""")

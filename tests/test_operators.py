@@ -220,3 +220,21 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("a b c", "")], "a string, b string")
     r = df.select(T.word_count(F.col("a")).alias("a"), T.word_count(F.col("b")).alias("b"), T.trim_ws(F.lit("　x\n")).alias("t")).first()
     assert (r.a, r.b, r.t) == (3, 0, "x")
+
+
+def test_shared_ends_of_repetitive_texts(spark, tmp_path):
+    from skein import registry
+
+    spark.createDataFrame([(1, "ab " * 300), (2, "x" * 700), (3, "".join(chr(97 + k * k % 23) for k in range(900))), (4, "-=" * 40 + "y" * 300)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = {}
+    for r in registry.fixed_chunks(spark, str(tmp_path)).orderBy("doc_id", "chunk_id").collect():
+        chunks.setdefault(r.doc_id, []).append((r.chunk_id, r.text))
+    longest = lambda a, b: max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
+    want = {(i, one[0]): longest(one[1], two[1]) for i, rows in chunks.items() for one, two in zip(rows, rows[1:])}
+    assert max(want.values()) > 60
+    assert {(r.doc_id, r.chunk_id): r.shared for r in registry.chunk_overlaps(spark, str(tmp_path)).collect()} == want
+
+
+def test_shared_ends_of_long_chunks(spark):
+    rows = spark.createDataFrame([(1, 0, "ab" * 1250), (1, 1, "ab" * 1250 + "c")], "doc_id long, chunk_id int, text string")
+    assert [r.shared for r in C.shared_ends(rows, "doc_id").collect()] == [2500]
