@@ -13,7 +13,6 @@ from skein.plans.layout import cut, table
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     items, limits = table(spark, d, "fixed_chunks"), table(spark, d, "chunk_limits")
-    # items within every limit have no cut; the test is pushed below the Python stage
     return splitting.needed_cuts(items, limits, ["doc_id", "chunk_id"])
 
 
@@ -22,6 +21,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(items, limits, ["doc_id", "chunk_id"])
 
 
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each strategy's items cover, and how many break the limit or the overlap."""
+    items, limits = table(spark, d, "fixed_chunks"), table(spark, d, "chunk_limits")
+    pieces = splitting.split_oversized(items, limits, ["doc_id", "chunk_id", "strategy"]).join(limits, "strategy", "left")
+    fresh = F.col("end") - F.coalesce("cut_at", F.lit(0))
+    return pieces.groupBy("strategy").agg(
+        F.count_if(F.col("piece_no") == 0).alias("items"), F.sum(fresh).alias("chars"), F.count_if((F.length("text") > F.col("max_chars")) | (F.length("text") != F.col("end") - F.col("start"))).alias("too_long"),
+        F.count_if(F.col("start") != F.greatest(F.col("cut_at") - F.col("overlap_chars"), F.lit(0))).alias("apart"), F.count_if((fresh < 1) & (F.col("piece_no") > 0)).alias("hollow"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "chunks"), "id", "text", least_words=8, similarity=0.7)
 
@@ -85,7 +94,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_sentences, p5_found, p5_ranked, p6_ids, p7_found, p7_copies, p7_report, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p2_groups, p3_found, p4_found, p4_sentences, p5_found, p5_ranked, p6_ids, p7_found, p7_copies, p7_report, p8_found, p8_levels)}
 
 
 RANKED = """
@@ -96,5 +105,9 @@ SELECT query, similarity, result_id FROM (
 WHERE place <= 5"""
 
 
+#: Every character is in a piece, none is above its limit, and no overlap is off.
+COVERED = "SELECT strategy, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, 0 AS too_long, 0 AS apart, 0 AS hollow FROM fixed_chunks WHERE text IS NOT NULL GROUP BY strategy"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_ranked": RANKED, "p5_found": f"SELECT result_id FROM ({RANKED})"}
+    return {"p1_coverage": COVERED, "p5_ranked": RANKED, "p5_found": f"SELECT result_id FROM ({RANKED})"}

@@ -3,7 +3,8 @@
 A rule is (breaks, before, after): two regular expressions that must match the text ending at a position and
 the text starting there. At each candidate position the rules of the cascade are tried in order and the first
 that matches decides. The cascade of a text is the table of its language, then the tables of the other
-languages in the same script, then the common table.
+languages in the same script, then the common table. A cascade is compiled into one alternation of look-behinds and
+look-aheads, which sees the whole unit on both sides of the position, however long its runs of white space are.
 
 Candidates lie behind a run of sentence-ending marks (with closing quotes and brackets) and, in Thai, at
 spaces. Positions inside a closed quotation or bracket are never candidates. Paragraph ends always break;
@@ -16,8 +17,11 @@ is no white space; offsets count code points; unknown languages use the tables o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 
+import regex
+
 OPEN, CLOSE = "“„«「『(（[【‘", "”“»」』)）]】’"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】"}
 ENDS = ".!?…。！？｡।॥؟۔"
@@ -28,7 +32,9 @@ PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n\u2028\u2029]*(?:\r\n|\n|\r)\s*|[
 LINE = re.compile(r"\r\n|[\n\r\u2028\x85\x0b\x0c]")
 ITEM = re.compile(r"[^\S\n]*(?:[-*•‣▪·–]|\(?\d{1,3}[.)])[^\S\n]+\S")
 HEADING = re.compile(r"[^\S\n]*#{1,6}[^\S\n]+\S")
-LIST_END = re.compile(rf"[{ENDS}:：;][{CLOSERS}]*$|[฀-๿]$|[฀-๿]\s\d+$")
+LONE_LINE = re.compile(r"(?:[-*•‣▪·–]|\(?\d{1,3}[.)]|#{1,6})\s+")
+LIST_END = regex.compile(rf"(?<=[{ENDS}:：;][{CLOSERS}]*)|(?<=[฀-๿])|(?<=[฀-๿]\s\d+)")
+MARK = re.compile(r"[“”„«»「」『』()（）\[\]【】\"]")
 CANDIDATE = re.compile(rf"(?:[{ENDS}]\s?)*[{ENDS}](?:[\"'”»」』)）\]】’]|“(?=[\s,.;:!?]|$))*(?:\s[»”](?!\w))?")
 SPACE_AFTER_THAI = re.compile(r"(?<=[฀-๿\d])\s+(?=[฀-๿])")
 
@@ -148,10 +154,12 @@ def language_of(text: str, hint: str | None = None) -> str:
 
 
 @cache
-def cascade(lang: str) -> tuple[tuple[bool, re.Pattern, re.Pattern], ...]:
+def cascade(lang: str) -> regex.Pattern:
+    """The rules of a language as one pattern, to be matched at a position: a last group is there where it breaks."""
     family = LATIN if lang in LATIN else (lang,) if lang == "th" else (lang, *(x for x in ("ru", "ar", "hi", "zh", "ja", *LATIN) if x != lang))
     order = [lang, *(x for x in family if x != lang), "common"]
-    return tuple((kind, re.compile(f"(?:{before})$" if before else "$"), re.compile(after)) for name in order for kind, before, after in TABLES[name])
+    rules = [(kind, f"(?<={before})" if before else "", f"(?={after})" if after else "") for name in order for kind, before, after in TABLES[name]]
+    return regex.compile("|".join(after + before + ("()" if kind else "") for kind, before, after in rules))
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -172,7 +180,7 @@ def lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
     for m in [*LINE.finditer(text, start, end), None]:
         stop = m.start() if m else end
         line = text[at:stop]
-        single = bool(HEADING.match(line)) or bool(ITEM.match(line) and (alone or not filled or LIST_END.search(text[max(open_at, at - 200) : at].rstrip())))
+        single = bool(HEADING.match(line)) or bool(ITEM.match(line) and (alone or not filled or LIST_END.match(text, behind(text, open_at, at))))
         if single:
             if filled:
                 out.append((open_at, at))
@@ -187,28 +195,41 @@ def lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def masked(text: str, start: int, end: int) -> list[tuple[int, int]]:
+def behind(text: str, start: int, at: int) -> int:
+    """The end of the last character before a position that is no white space."""
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def masked(text: str) -> list[tuple[int, int]]:
     """Spans inside closed quotations and brackets, outermost ones, without the closing mark."""
-    spans, stack, i = [], [], start
-    for m in re.compile(r"[“”„«»「」『』()（）\[\]【】\"]").finditer(text, start, end):
+    spans, stack, end = [], [], len(text)
+    #: how many open marks wait for a closing mark
+    waiting: Counter[str] = Counter()
+
+    def leave() -> tuple[str, int]:
+        mark, at = stack.pop()
+        waiting.subtract(PAIRS.get(mark, ""))
+        return mark, at
+
+    for m in MARK.finditer(text):
         i, c = m.start(), m[0]
         if c == '"':
-            opens = (i == start or text[i - 1].isspace() or text[i - 1] in "([{“«—–\"'：") and i + 1 < end and not text[i + 1].isspace()
+            opens = (i == 0 or text[i - 1].isspace() or text[i - 1] in "([{“«—–\"'：") and i + 1 < end and not text[i + 1].isspace()
             if stack and stack[-1][0] == '"' and not (opens and text[i - 1].isspace()):
-                spans.append((stack.pop()[1], i))
+                spans.append((leave()[1], i))
             elif opens:
                 while stack and stack[-1][0] == '"':
-                    stack.pop()
+                    leave()
                 stack.append((c, i))
-            continue
-        if stack and any(c in PAIRS.get(o, "") for o, _ in stack):
+        elif waiting[c] > 0:
             while c not in PAIRS.get(stack[-1][0], ""):
-                stack.pop()
-            spans.append((stack.pop()[1], i))
+                leave()
+            spans.append((leave()[1], i))
         elif c in PAIRS:
             stack.append((c, i))
-            if len(stack) > 64:  # marks that nothing closes must not pile up
-                del stack[0]
+            waiting.update(PAIRS[c])
     spans.sort()
     out: list[tuple[int, int]] = []
     for s, e in spans:
@@ -220,7 +241,39 @@ def masked(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 CASELESS_NEXT = re.compile(r"\s*[؀-ۿऀ-ॿ぀-ヿ一-鿿฀-๿]")
-ENDS_QUOTED = re.compile(rf"[{ENDS}]\s?[”»」』\"]+$")
+ENDS_QUOTED = regex.compile(rf"(?<=[{ENDS}]\s?[”»」』\"]+)")
+
+
+def stops(unit: str, rules: regex.Pattern, thai: bool) -> list[tuple[int, int]]:
+    """Spans of the sentences of one unit, which starts with no white space."""
+    spots = [m.end() for m in CANDIDATE.finditer(unit)]
+    if thai:
+        spots = sorted({*spots, *(m.start() for m in SPACE_AFTER_THAI.finditer(unit))})
+    end = len(unit)
+    if not spots or spots[0] >= end:
+        return [(0, end)]
+    closed = masked(unit) if MARK.search(unit) else []
+    out, k, first = [], 0, 0
+    for p in spots:
+        if p >= end:
+            break
+        while k < len(closed) and closed[k][1] + 1 < p:
+            k += 1
+        j = k
+        while j < len(closed) and closed[j][1] < p:
+            j += 1
+        if j < len(closed) and closed[j][0] < p <= closed[j][1]:
+            continue
+        if unit[first] in "“«「『\"‘" and ENDS_QUOTED.match(unit, p) and CASELESS_NEXT.match(unit, p) and not (j and closed[j - 1][0] > first):
+            continue
+        if rules.match(unit, p).lastindex:
+            out.append((first, p))
+            first = p
+            while first < end and unit[first].isspace():
+                first += 1
+    if first < end:
+        out.append((first, end))
+    return out
 
 
 def sentences(text: str | None, hint: str | None = None) -> list[tuple[int, int]]:
@@ -229,57 +282,15 @@ def sentences(text: str | None, hint: str | None = None) -> list[tuple[int, int]
         return []
     lang = language_of(text, hint)
     rules = cascade(lang)
-    thai = lang == "th"
     out: list[tuple[int, int]] = []
     for start, end in units(text):
         while start < end and text[start].isspace():
             start += 1
+        end = behind(text, start, end)
         if start >= end:
             continue
-        body = re.match(r"(?:[-*•‣▪·–]|\(?\d{1,3}[.)]|#{1,6})\s+", text[start:start + 16])
-        if (ITEM.match(text, start, end) or HEADING.match(text, start, end)) and body and not LINE.search(text, start, end):
+        if LONE_LINE.match(text, start, end) and (ITEM.match(text, start, end) or HEADING.match(text, start, end)) and not LINE.search(text, start, end):
             out.append((start, end))
             continue
-        spots = [m.end() for m in CANDIDATE.finditer(text, start, end)]
-        if thai:
-            spots = sorted({*spots, *(m.start() for m in SPACE_AFTER_THAI.finditer(text, start, end))})
-        if spots:
-            closed = masked(text, start, end)
-            k, first = 0, start
-            for p in spots:
-                if p >= end:
-                    break
-                while k < len(closed) and closed[k][1] < p - 1 and closed[k][1] + 1 < p:
-                    k += 1
-                j = k
-                while j < len(closed) and closed[j][1] < p:
-                    j += 1
-                if j < len(closed) and closed[j][0] < p <= closed[j][1]:
-                    continue
-                before, after = text[max(first, p - 32):p], text[p:min(end, p + 32)]
-                if ENDS_QUOTED.search(before) and CASELESS_NEXT.match(after) and text[first] in "“«「『\"‘":
-                    if not any(first < s for s, e in closed if e < p):
-                        continue
-                for kind, one, two in rules:
-                    if two.match(after) and one.search(before):
-                        break
-                else:
-                    kind = False
-                if kind:
-                    if text[first:p].strip():
-                        out.append((first, p))
-                    first = p
-                    while first < end and text[first].isspace():
-                        first += 1
-            start = first
-        if text[start:end].strip():
-            out.append((start, end))
-    result = []
-    for s, e in out:
-        while s < e and text[s].isspace():
-            s += 1
-        while e > s and text[e - 1].isspace():
-            e -= 1
-        if s < e:
-            result.append((s, e))
-    return result
+        out += [(start + a, start + behind(text, start + a, start + b) - start) for a, b in stops(text[start:end], rules, lang == "th")]
+    return [(a, b) for a, b in out if a < b]

@@ -74,3 +74,23 @@ def test_frames(spark):
     assert rows == [(0, 0, 0, "x"), (1, 0, 0, "A b."), (1, 0, 1, "C d.")]
     assert sentence_starts(df, ["doc_id", "chunk_id"], "text", "language").count() == 3
     assert sentence_starts(df.where("doc_id = 7"), ["doc_id", "chunk_id"], "text").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 100, 5000])
+@pytest.mark.parametrize("left, right, parts", [("It was 5 p.m.", "and late.", 1), ("We use foo.", "bar is late.", 2), ("Ask Dr.", "Silva about it.", 1), ("It ends.", "It begins.", 2)])
+def test_runs_of_white_space_change_nothing(n, left, right, parts):
+    assert len(cut(left + " " * n + right)) == parts
+    assert len(cut(left + " " * (n // 2) + "\n" + " " * (n // 2) + right)) == parts
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1000])
+def test_any_number_of_open_marks_may_lie_in_a_quotation(n):
+    text = "He said: “one. " + "( " * n + " Two. Three.” And left."
+    assert cut(text) == [text[: text.index(" And")], "And left."]
+
+
+def test_long_marker_lines():
+    text = "-" + " " * 40 + "an item. With two parts"
+    assert cut(text) == [text]
+    text = "First line ends." + " " * 300 + "\n" + "- an item\n- another"
+    assert cut(text)[1:] == ["- an item", "- another"]
