@@ -1,13 +1,13 @@
 """Records that share most of their words: exact multiset similarity over candidates from hashed bands.
 
 A text is the multiset of its words; its k-th occurrence of a word is one element. Texts with equal multisets are
-one class. Classes that agree in a band of minimum hashes meet in a bucket; buckets are compared in tiles, exactly,
-by exclusive-or and bit counts of fixed-width bitmaps of the elements. The bit difference never exceeds the true
-difference, so within a bucket no pair is lost, and pairs of tiles (or rows) whose bit counts alone differ beyond
-the radius are skipped. What passes is decided by the true common words.
+one class, named by a 64-bit hash of the multiset. Classes that agree in a band of minimum hashes meet in a bucket;
+buckets are compared in tiles, exactly, by exclusive-or and bit counts of fixed-width bitmaps of the elements. The
+bit difference never exceeds the true difference, so within a bucket no pair is lost, and blocks of tiles (or rows)
+whose bit counts alone differ beyond the radius are skipped. What passes is decided by the true common words.
 
 With ROWS hashes in each of BANDS bands a pair of similarity s shares a bucket with probability
-1 - (1 - s ** ROWS) ** BANDS: at the default 0.9984 at s = 0.7 and 0.99998 at s = 0.75.
+1 - (1 - s ** ROWS) ** BANDS: at the default 0.9997 at s = 0.7 and 0.999998 at s = 0.75.
 """
 
 from __future__ import annotations
@@ -19,16 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.layout import cut, spread
+from skein.plans.layout import cut, release, spread, stored
 
-BANDS, ROWS = 50, 6
+BANDS, ROWS = 64, 6
 #: 64-bit words of a bitmap.
 BITMAP = 4
-#: Rows of a tile: buckets above it are split into pairs of tiles, each its own group.
+#: Rows of a tile: buckets above it are split into pairs of tiles, each its own group. Tiles of very large buckets
+#: grow with the square root of the bucket, so that its rows are copied less often.
 TILE = 2048
+#: Bits of a band key beyond those that number the records: chance meetings stay below 2 ** -SPARE of the entries.
+SPARE = 8
 #: Up to this size, buckets of a batch are compared together, neighbour by neighbour.
 SMALL = 48
 WORD = re.compile(r"[^\W_]+")
@@ -81,7 +84,7 @@ def bitmaps(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def described(df: DataFrame, ident: str, text: str, least_words: int) -> DataFrame:
-    """(id, bag, n, elements, bits, bands) of the rows with enough words."""
+    """(id, class, n, elements, bits) of the rows with enough words."""
     rows = spread(df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,16 +98,69 @@ def described(df: DataFrame, ident: str, text: str, least_words: int) -> DataFra
                 sets = [sets[i] for i in keep]
                 sizes = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                bags = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-                offsets = pa.array(np.append(starts, len(flat)).astype(np.int32))
-                fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep)), pa.array(bags), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), fixed(bitmaps(flat, starts)), fixed(band_keys(flat, starts))],
-                    ["id", "bag", "n", "elements", "bits", "bands"],
-                )
+                ends = np.cumsum(sizes)
+                named = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
+                bits = bitmaps(flat, np.append(0, ends[:-1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(named), pa.array(sizes, pa.int32()), lists(np.append(0, ends), flat), lists(np.arange(0, bits.size + 1, BITMAP), bits)], ["id", "class", "n", "elements", "bits"])
 
-    return rows.mapInArrow(run, "id long, bag string, n int, elements array<long>, bits array<long>, bands array<long>")
+    return rows.mapInArrow(run, "id long, class long, n int, elements array<long>, bits array<long>")
+
+
+def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
+
+
+def entries(rows: DataFrame, width: int) -> DataFrame:
+    """(key, class): the band keys of (class, elements), of `width` bits and the band's number; copies in a batch count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            for k in range(0, len(first), 2000):
+                part = batch.take(pa.array(first[k : k + 2000]))
+                sizes = part.column(1).value_lengths().to_numpy()
+                flat = part.column(1).flatten().to_numpy().view(np.uint64)
+                keys = band_keys(flat, np.cumsum(sizes) - sizes) >> np.uint64(64 - width)
+                keys |= np.arange(BANDS, dtype=np.uint64)[None] << np.uint64(width)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "class"])
+
+    return rows.mapInArrow(run, "key long, class long")
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by key and class, those in buckets of two different classes or more, with a mark on large buckets.
+
+    No more than TILE entries of a bucket are held: beyond that the bucket is large and its entries pass on at once.
+    """
+    held_key, held_class, large = np.empty(0, np.int64), np.empty(0, np.int64), False
+    schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("large", pa.bool_())])
+
+    def emit(key, classes, mark) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(classes), pa.array(np.broadcast_to(mark, len(key)))], schema=schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, classes = np.concatenate([held_key, batch.column(0).to_numpy()]), np.concatenate([held_class, batch.column(1).to_numpy()])
+        # the entry held last was emitted before, if its bucket is large
+        seen = int(large)
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])])
+        fresh[:seen] = True
+        key, classes = key[fresh], classes[fresh]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(head, len(key)))
+        big = sizes > TILE
+        big[0] |= large
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        ready = (sizes > 1)[bucket] & ((bucket < len(sizes) - 1) | big[bucket])
+        ready[:seen] = False
+        if ready.any():
+            yield emit(key[ready], classes[ready], big[bucket[ready]])
+        large = bool(big[-1])
+        tail = len(key) - 1 if large else head[-1]
+        held_key, held_class = key[tail:], classes[tail:]
+    if len(held_key) > 1:
+        yield emit(held_key, held_class, False)
 
 
 def compare(similarity: float):
@@ -186,28 +242,34 @@ def compare(similarity: float):
     return run
 
 
-def class_links(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(members, links): id with its class, and pairs (a, b) of similar classes, a < b, from described rows."""
-    members = rows.groupBy("bag", "id").agg(F.lit(1)).select("bag", "id")
-    named = members.groupBy("bag").agg(F.min("id").alias("class"))
-    one = rows.groupBy("bag").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("elements").alias("elements"))
-    one = cut(one)
-    # the count of a bucket decides whether it is split; equal bags were merged before, so copies make no hot bucket.
-    # Keys travel without the bitmaps, which only the classes that meet another one need
-    entries = one.select(F.explode("bands").alias("key"), "class").withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
-    placed = entries.join(one.select("class", "n", "bits"), "class").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    others = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("x"), F.greatest(k, F.col("tile")).alias("y"))))
-    cells = placed.withColumn("at", F.explode(others)).select(
+def class_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of similar classes, from the stored table of described rows.
+
+    Only band keys and class names of all records are shuffled; bitmaps follow for the classes that meet another one,
+    elements for those in a candidate pair. Equal texts are merged before, so copies make no hot bucket.
+    """
+    width = min(57, max(24, int(rows.count()).bit_length() + SPARE))
+    met = entries(rows.select("class", "elements"), width).repartition("key").sortWithinPartitions("key", "class").mapInArrow(meetings, "key long, class long, large boolean")
+    met = stored(met)
+    one = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    small = met.where("not large").join(one, "class").select(F.col("key").alias("cell"), F.lit(2).alias("side"), "class", "n", "bits")
+    # a large bucket is counted, key by key in the tasks first, and split into tiles; every two of them make a cell
+    large = met.where("large")
+    side = F.greatest(F.lit(TILE), F.sqrt("count") * 8)
+    counts = large.groupBy("key").agg(F.count("*").alias("count")).select("key", F.ceil(F.col("count") / side).cast("int").alias("tiles"))
+    tiled = large.join(counts, "key").join(one, "class").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("x"), F.greatest(k, F.col("tile")).alias("y")))
+    cells = tiled.withColumn("at", F.explode(others)).select(
         F.xxhash64("key", "at.x", "at.y").alias("cell"), F.when(F.col("at.x") == F.col("at.y"), 2).when(F.col("tile") == F.col("at.x"), 0).otherwise(1).alias("side"), "class", "n", "bits")
-    candidates = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare(similarity), "a long, b long").distinct()
-    a = one.select(F.col("class").alias("a"), F.col("elements").alias("_ea"), F.col("n").alias("_na"))
-    b = one.select(F.col("class").alias("b"), F.col("elements").alias("_eb"), F.col("n").alias("_nb"))
+    compared = [part.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare(similarity), "a long, b long") for part in (small, cells)]
+    candidates = stored(compared[0].unionByName(compared[1]).distinct())
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    whole = rows.select("class", "n", "elements").join(asked, "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
+    a = whole.select(F.col("class").alias("a"), F.col("elements").alias("_ea"), F.col("n").alias("_na"))
+    b = whole.select(F.col("class").alias("b"), F.col("elements").alias("_eb"), F.col("n").alias("_nb"))
     common = F.size(F.array_intersect("_ea", "_eb"))
     # common / (na + nb - common) >= similarity, in a form without division
-    links = candidates.join(a, "a").join(b, "b").where(common * (1 + F.lit(float(similarity))) >= F.lit(float(similarity)) * (F.col("_na") + F.col("_nb")) - 1e-9).select("a", "b")
-    return members.join(named, "bag").select("id", "class"), links
+    return candidates.join(a, "a").join(b, "b").where(common * (1 + F.lit(float(similarity))) >= F.lit(float(similarity)) * (F.col("_na") + F.col("_nb")) - 1e-9).select("a", "b")
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str, text: str, least_words: int = 8, similarity: float = 0.7) -> DataFrame:
@@ -216,10 +278,14 @@ def near_duplicate_pairs(df: DataFrame, ident: str, text: str, least_words: int
     Defined results: null ids, null texts and texts of fewer than least_words words take no part; a repeated id
     makes a pair once, if any of its texts does, and none with itself; exact copies are pairs; ids are longs.
     """
-    members, links = class_links(cut(described(df, ident, text, least_words)), similarity)
+    rows = stored(described(df, ident, text, least_words))
+    links, members = class_links(rows, similarity), rows.select("id", "class").distinct()
     left, right = members.select(F.col("id").alias("_x"), F.col("class").alias("a")), members.select(F.col("id").alias("_y"), F.col("class").alias("b"))
     across = links.join(left, "a").join(right, "b").select("_x", "_y")
-    copies = left.join(right.withColumnRenamed("b", "a"), "a").where("_x < _y").select("_x", "_y")
+    # the pairs of equal texts: as many as this form of the result must have
+    shared = members.groupBy("class").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("class").alias("a"))
+    several = left.join(shared, "a", "left_semi")
+    copies = several.join(several.withColumnRenamed("_x", "_y"), "a").where("_x < _y").select("_x", "_y")
     return across.unionByName(copies).where("_x <> _y").select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")).distinct()
 
 
@@ -231,7 +297,7 @@ def smallest_linked(links: DataFrame, rounds: int = 1000) -> DataFrame:
     and once none does all linked classes agree; that many rounds are never needed, and going beyond them raises.
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = cut(both.select(F.col("a").alias("class")).distinct().withColumn("group", F.col("class")))
+    label = label_file = cut(both.select(F.col("a").alias("class")).distinct().withColumn("group", F.col("class")))
     for _ in range(rounds):
         named = label.join(label.select(F.col("class").alias("group"), F.col("group").alias("_grand")), "group").select("class", "group", "_grand")
         near = both.join(named.select(F.col("class").alias("b"), "_grand"), "b").groupBy(F.col("a").alias("class")).agg(F.min("_grand").alias("_near"))
@@ -239,7 +305,8 @@ def smallest_linked(links: DataFrame, rounds: int = 1000) -> DataFrame:
         own = low.select("class", F.col("group").alias("_was"), F.least("group", "_low").alias("_low"))
         hooked = low.select(F.col("group").alias("class"), F.lit(None).cast("long").alias("_was"), "_low")
         fresh = cut(own.unionByName(hooked).groupBy("class").agg(F.min("_low").alias("group"), F.min("_was").alias("_was")))
-        label = fresh.select("class", "group")
+        release(label_file)
+        label, label_file = fresh.select("class", "group"), fresh
         if fresh.where("group < _was").isEmpty():
             return label
     raise RuntimeError(f"groups are not settled after {rounds} rounds")
@@ -248,12 +315,18 @@ def smallest_linked(links: DataFrame, rounds: int = 1000) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, ident: str, text: str, least_words: int = 8, similarity: float = 0.7, rounds: int = 1000) -> DataFrame:
     """(id, class, links, group): the class of equal word multisets, its number of similar classes, and the group.
 
-    group is the smallest class that similar classes lead to, found by passing minima along links until nothing
-    changes (see smallest_linked); each round is written to the shared folder. Records that take no part (see
-    near_duplicate_pairs) have no row; an id with several texts has a row for each of its classes.
+    class is the smallest id with the multiset. group is the smallest class that similar classes lead to, found by
+    passing minima along links until nothing changes (see smallest_linked); each round is written to the shared
+    folder. Records that take no part (see near_duplicate_pairs) have no row; an id with several texts has a row for
+    each of its classes. No pairs are made of equal texts, however many there are.
     """
-    members, links = class_links(cut(described(df, ident, text, least_words)), similarity)
-    links = cut(links)
-    label = smallest_linked(links, rounds)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    rows = stored(described(df, ident, text, least_words))
+    named = rows.groupBy("class").agg(F.min("id").alias("_c"))
+    links = class_links(rows, similarity)
+    links = links.join(named.select(F.col("class").alias("a"), F.col("_c").alias("_a")), "a").join(named.select(F.col("class").alias("b"), F.col("_c").alias("_b")), "b")
+    # two classes may have the same smallest id, if that id has several texts
+    links = cut(links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    label = smallest_linked(links.where("a <> b"), rounds)
+    degree = links.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    members = rows.select("id", F.col("class").alias("_h")).distinct().join(named.select(F.col("class").alias("_h"), F.col("_c").alias("class")), "_h").select("id", "class").distinct()
     return members.join(label, "class", "left").join(degree, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "class").alias("group"))
