@@ -16,6 +16,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,18 @@ WORD = re.compile(r"[^\W_]+")
 SALTS = np.random.default_rng(20240229).integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 SHIFTS = np.random.default_rng(20240301).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
-_hashes: dict[str, int] = {}
+
+class Hashes(dict):
+    """64-bit hashes of words; what a worker remembers is bounded, and results do not depend on it."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        out = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return out
+
+
+_hashes = Hashes()
 
 
 def words(text: str) -> list[str]:
@@ -46,20 +58,20 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower())
 
 
-def elements(found: list[str]) -> np.ndarray:
-    """Hashes of (word, occurrence), sorted."""
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    known, seen, out = _hashes, {}, []
-    for w in found:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        k = seen.get(w, 0)
-        seen[w] = k + 1
-        out.append(h if not k else (h * 0x9E3779B97F4A7C15 + k * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-    out.sort()
-    return np.array(out, np.uint64)
+def elements(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (word, occurrence) of several texts, one after the other and sorted in each, and where each begins."""
+    sizes = np.array([len(w) for w in found], np.int64)
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found)), np.uint64, int(sizes.sum()))
+    text = np.repeat(np.arange(len(found)), sizes)
+    flat = flat[np.lexsort((flat, text))]
+    again = np.concatenate([[False], (flat[1:] == flat[:-1]) & (text[1:] == text[:-1])])
+    if again.any():
+        # the k-th repetition of a word is an element of its own
+        at = np.arange(len(flat))
+        nth = (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64)
+        flat = np.where(again, flat * np.uint64(0x9E3779B97F4A7C15) + nth * np.uint64(0xD6E8FEB86659FD93), flat)
+        flat = flat[np.lexsort((flat, text))]
+    return flat, np.cumsum(sizes) - sizes
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,17 +103,15 @@ def described(df: DataFrame, ident: str, text: str, least_words: int) -> DataFra
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                sets = [elements(w) if len(w := words(t)) >= least_words else None for t in part.column(1).to_pylist()]
-                keep = [i for i, s in enumerate(sets) if s is not None]
+                found = [words(t) for t in part.column(1).to_pylist()]
+                keep = [i for i, w in enumerate(found) if len(w) >= max(1, least_words)]
                 if not keep:
                     continue
-                sets = [sets[i] for i in keep]
-                sizes = np.array([len(s) for s in sets])
-                flat = np.concatenate(sets)
-                ends = np.cumsum(sizes)
-                named = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
-                bits = bitmaps(flat, np.append(0, ends[:-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(named), pa.array(sizes, pa.int32()), lists(np.append(0, ends), flat), lists(np.arange(0, bits.size + 1, BITMAP), bits)], ["id", "class", "n", "elements", "bits"])
+                flat, starts = elements([found[i] for i in keep])
+                offsets = np.append(starts, len(flat))
+                named = np.array([int.from_bytes(hashlib.blake2b(flat[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets, offsets[1:])], np.int64)
+                bits = bitmaps(flat, starts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(named), pa.array(np.diff(offsets), pa.int32()), lists(offsets, flat), lists(np.arange(0, bits.size + 1, BITMAP), bits)], ["id", "class", "n", "elements", "bits"])
 
     return rows.mapInArrow(run, "id long, class long, n int, elements array<long>, bits array<long>")
 
@@ -128,38 +138,50 @@ def entries(rows: DataFrame, width: int) -> DataFrame:
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key and class, those in buckets of two different classes or more, with a mark on large buckets.
+    """Of entries sorted by key, those in buckets of two different classes or more, with a mark on large buckets.
 
-    No more than TILE entries of a bucket are held: beyond that the bucket is large and its entries pass on at once.
+    No more than TILE classes of a bucket are held: beyond that the bucket is large and its entries pass on at once,
+    so that a class may come out of it more than once.
     """
     held_key, held_class, large = np.empty(0, np.int64), np.empty(0, np.int64), False
-    schema = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("large", pa.bool_())])
 
     def emit(key, classes, mark) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(classes), pa.array(np.broadcast_to(mark, len(key)))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(classes), pa.array(np.full(len(key), mark))], ["key", "class", "large"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, classes = np.concatenate([held_key, batch.column(0).to_numpy()]), np.concatenate([held_class, batch.column(1).to_numpy()])
-        # the entry held last was emitted before, if its bucket is large
-        seen = int(large)
+        key, classes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if large:
+            # the rest of the large bucket that the batch before ended in
+            rest = int(np.searchsorted(key, held_key[0], side="right"))
+            if rest:
+                yield emit(key[:rest], classes[:rest], True)
+            key, classes = key[rest:], classes[rest:]
+            if not len(key):
+                continue
+            large, held_key, held_class = False, key[:0], classes[:0]
+        key, classes = np.concatenate([held_key, key]), np.concatenate([held_class, classes])
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([same, [True]])
+        shared[1:] |= same
+        last = key[-1]
+        key, classes = key[shared], classes[shared]
+        order = np.lexsort((classes, key))
+        key, classes = key[order], classes[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])])
-        fresh[:seen] = True
         key, classes = key[fresh], classes[fresh]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(head, len(key)))
-        big = sizes > TILE
-        big[0] |= large
-        bucket = np.repeat(np.arange(len(sizes)), sizes)
-        ready = (sizes > 1)[bucket] & ((bucket < len(sizes) - 1) | big[bucket])
-        ready[:seen] = False
-        if ready.any():
-            yield emit(key[ready], classes[ready], big[bucket[ready]])
-        large = bool(big[-1])
-        tail = len(key) - 1 if large else head[-1]
-        held_key, held_class = key[tail:], classes[tail:]
-    if len(held_key) > 1:
+        whole = int(np.searchsorted(key, last))
+        held_key, held_class = key[whole:], classes[whole:]
+        head = np.flatnonzero(np.concatenate([[True], key[1:whole] != key[: max(whole - 1, 0)]])) if whole else np.empty(0, np.int64)
+        sizes = np.repeat(np.diff(np.append(head, whole)), np.diff(np.append(head, whole)))
+        for mark, take in ((False, (sizes > 1) & (sizes <= TILE)), (True, sizes > TILE)):
+            if take.any():
+                yield emit(key[:whole][take], classes[:whole][take], mark)
+        if len(held_key) > TILE:
+            yield emit(held_key, held_class, True)
+            large, held_key = True, held_key[:1]
+    if not large and len(held_key) > 1:
         yield emit(held_key, held_class, False)
 
 
@@ -249,12 +271,12 @@ def class_links(rows: DataFrame, similarity: float) -> DataFrame:
     elements for those in a candidate pair. Equal texts are merged before, so copies make no hot bucket.
     """
     width = min(57, max(24, int(rows.count()).bit_length() + SPARE))
-    met = entries(rows.select("class", "elements"), width).repartition("key").sortWithinPartitions("key", "class").mapInArrow(meetings, "key long, class long, large boolean")
+    met = entries(rows.select("class", "elements"), width).repartition("key").sortWithinPartitions("key").mapInArrow(meetings, "key long, class long, large boolean")
     met = stored(met)
     one = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     small = met.where("not large").join(one, "class").select(F.col("key").alias("cell"), F.lit(2).alias("side"), "class", "n", "bits")
     # a large bucket is counted, key by key in the tasks first, and split into tiles; every two of them make a cell
-    large = met.where("large")
+    large = met.where("large").distinct()
     side = F.greatest(F.lit(TILE), F.sqrt("count") * 8)
     counts = large.groupBy("key").agg(F.count("*").alias("count")).select("key", F.ceil(F.col("count") / side).cast("int").alias("tiles"))
     tiled = large.join(counts, "key").join(one, "class").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))

@@ -101,6 +101,23 @@ def test_bits_never_exceed_the_difference():
     rng = np.random.default_rng(1)
     for n in (10, 80, 2000):
         a, b = ([f"x{k}" for k in rng.integers(0, n, n)] for _ in range(2))
-        sets = [neardup.elements(x) for x in (a, b)]
-        bits = neardup.bitmaps(np.concatenate(sets), np.array([0, len(sets[0])]))
-        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(*sets))
+        flat, starts = neardup.elements([a, b])
+        bits = neardup.bitmaps(flat, starts)
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(flat[: starts[1]], flat[starts[1] :]))
+        assert len(np.intersect1d(flat[: starts[1]], flat[starts[1] :])) == sum((Counter(a) & Counter(b)).values())
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_meetings_are_the_shared_buckets(size, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "TILE", 4)
+    rng = np.random.default_rng(size)
+    key = np.sort(np.concatenate([rng.integers(0, 60, 150), np.full(40, 30), np.full(9, 59)]))
+    classes = rng.integers(0, 12, len(key))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + size]), pa.array(classes[a : a + size])], ["key", "class"]) for a in range(0, len(key), size)]
+    out = [tuple(r.values()) for b in neardup.meetings(iter(batches)) for r in b.to_pylist()]
+    buckets = {k: set(classes[key == k].tolist()) for k in key.tolist()}
+    assert {(k, c) for k, c, _ in out} == {(k, c) for k, v in buckets.items() if len(v) > 1 for c in v}
+    assert {k for k, _, large in out if large} == {k for k, v in buckets.items() if len(v) > 4}
+    assert len([r for r in out if not r[2]]) == sum(len(v) for v in buckets.values() if 1 < len(v) <= 4)
