@@ -31,6 +31,8 @@ BITMAP = 4
 #: Rows of a tile: buckets above it are split into pairs of tiles, each its own group. Tiles of very large buckets
 #: grow with the square root of the bucket, so that its rows are copied less often.
 TILE = 2048
+#: Entries that a slice of the keys should hold, that a task packs at once, and that it holds of one slice.
+SLICE, PACKED, HELD = 1 << 16, 1 << 21, 1 << 20
 #: Bits of a band key beyond those that number the records: chance meetings stay below 2 ** -SPARE of the entries.
 SPARE = 8
 #: Up to this size, buckets of a batch are compared together, neighbour by neighbour.
@@ -120,69 +122,89 @@ def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
 
 
-def entries(rows: DataFrame, width: int) -> DataFrame:
-    """(key, class): the band keys of (class, elements), of `width` bits and the band's number; copies in a batch count once."""
+class Slices:
+    """How band keys (the band's number above `width` bits) are cut into slices of about SLICE entries, to travel packed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A packed slice holds the keys' lower bits, sorted, and behind them the classes.
+    """
+
+    def __init__(self, records: int) -> None:
+        self.width = min(50, max(24, records.bit_length() + SPARE))
+        total = self.width + (BANDS - 1).bit_length()
+        self.shift = min(total, max(total - 30, total - (records * BANDS // SLICE).bit_length()))
+        self.low = np.dtype(np.uint32 if self.shift <= 32 else np.uint64)
+
+    def pack(self, key: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key)
+        key, classes = key[order], classes[order]
+        of = (key >> np.uint64(self.shift)).astype(np.int32)
+        low = (key & np.uint64((1 << self.shift) - 1)).astype(self.low)
+        edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+        blobs = [low[a:b].tobytes() + classes[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(of[edges[:-1]]), pa.array(blobs, pa.binary())], ["slice", "blob"])
+
+    def unpack(self, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(blob) // (self.low.itemsize + 8)
+        return np.frombuffer(blob, self.low, n), np.frombuffer(blob, np.int64, n, n * self.low.itemsize)
+
+    def entries(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed slices of the band keys of (class, elements); copies in a batch count once."""
+        keys, classes, count = [], [], 0
         for batch in batches:
             _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             for k in range(0, len(first), 2000):
                 part = batch.take(pa.array(first[k : k + 2000]))
                 sizes = part.column(1).value_lengths().to_numpy()
                 flat = part.column(1).flatten().to_numpy().view(np.uint64)
-                keys = band_keys(flat, np.cumsum(sizes) - sizes) >> np.uint64(64 - width)
-                keys |= np.arange(BANDS, dtype=np.uint64)[None] << np.uint64(width)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "class"])
-
-    return rows.mapInArrow(run, "key long, class long")
+                key = band_keys(flat, np.cumsum(sizes) - sizes) >> np.uint64(64 - self.width)
+                keys.append((key | np.arange(BANDS, dtype=np.uint64)[None] << np.uint64(self.width)).reshape(-1))
+                classes.append(np.repeat(part.column(0).to_numpy(), BANDS))
+                count += len(keys[-1])
+                if count >= PACKED:
+                    yield self.pack(np.concatenate(keys), np.concatenate(classes))
+                    keys, classes, count = [], [], 0
+        if keys:
+            yield self.pack(np.concatenate(keys), np.concatenate(classes))
+
+    def meetings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, class, large) of packed slices sorted by slice: the entries in buckets of two classes or more.
+
+        A bucket of more than TILE classes is large. Where a slice grows beyond HELD entries its large buckets pass on
+        at once, so that a class may come out of them more than once; what is held is bounded by the other buckets.
+        """
+        at: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count, passed = 0, np.empty(0, self.low)
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, count, passed
+            low, classes = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((classes, low))
+            low, classes = low[order], classes[order]
+            fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (classes[1:] != classes[:-1])])
+            low, classes = low[fresh], classes[fresh]
+            sizes = np.diff(np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]])))
+            sizes = np.repeat(sizes, sizes)
+            large = (sizes > TILE) | np.isin(low, passed)
+            out = large | ((sizes > 1) & last)
+            if out.any():
+                key = low[out].astype(np.int64) | np.int64(at << self.shift)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(classes[out]), pa.array(large[out])], ["key", "class", "large"])
+            passed = np.empty(0, self.low) if last else np.union1d(passed, low[large])
+            held = [] if last else [(low[~large], classes[~large])]
+            count = 0 if last else len(held[0][0])
 
-
-def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, those in buckets of two different classes or more, with a mark on large buckets.
-
-    No more than TILE classes of a bucket are held: beyond that the bucket is large and its entries pass on at once,
-    so that a class may come out of it more than once.
-    """
-    held_key, held_class, large = np.empty(0, np.int64), np.empty(0, np.int64), False
-
-    def emit(key, classes, mark) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(classes), pa.array(np.full(len(key), mark))], ["key", "class", "large"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, classes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if large:
-            # the rest of the large bucket that the batch before ended in
-            rest = int(np.searchsorted(key, held_key[0], side="right"))
-            if rest:
-                yield emit(key[:rest], classes[:rest], True)
-            key, classes = key[rest:], classes[rest:]
-            if not len(key):
-                continue
-            large, held_key, held_class = False, key[:0], classes[:0]
-        key, classes = np.concatenate([held_key, key]), np.concatenate([held_class, classes])
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([same, [True]])
-        shared[1:] |= same
-        last = key[-1]
-        key, classes = key[shared], classes[shared]
-        order = np.lexsort((classes, key))
-        key, classes = key[order], classes[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])])
-        key, classes = key[fresh], classes[fresh]
-        whole = int(np.searchsorted(key, last))
-        held_key, held_class = key[whole:], classes[whole:]
-        head = np.flatnonzero(np.concatenate([[True], key[1:whole] != key[: max(whole - 1, 0)]])) if whole else np.empty(0, np.int64)
-        sizes = np.repeat(np.diff(np.append(head, whole)), np.diff(np.append(head, whole)))
-        for mark, take in ((False, (sizes > 1) & (sizes <= TILE)), (True, sizes > TILE)):
-            if take.any():
-                yield emit(key[:whole][take], classes[:whole][take], mark)
-        if len(held_key) > TILE:
-            yield emit(held_key, held_class, True)
-            large, held_key = True, held_key[:1]
-    if not large and len(held_key) > 1:
-        yield emit(held_key, held_class, False)
+        for batch in batches:
+            for of, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if of != at and held:
+                    yield from settle(True)
+                at = of
+                held.append(self.unpack(blob))
+                count += len(held[-1][0])
+                if count > HELD:
+                    yield from settle(False)
+        if held:
+            yield from settle(True)
 
 
 def compare(similarity: float):
@@ -270,9 +292,9 @@ def class_links(rows: DataFrame, similarity: float) -> DataFrame:
     Only band keys and class names of all records are shuffled; bitmaps follow for the classes that meet another one,
     elements for those in a candidate pair. Equal texts are merged before, so copies make no hot bucket.
     """
-    width = min(57, max(24, int(rows.count()).bit_length() + SPARE))
-    met = entries(rows.select("class", "elements"), width).repartition("key").sortWithinPartitions("key").mapInArrow(meetings, "key long, class long, large boolean")
-    met = stored(met)
+    slices = Slices(rows.count())
+    packed = rows.select("class", "elements").mapInArrow(slices.entries, "slice int, blob binary")
+    met = stored(packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(slices.meetings, "key long, class long, large boolean"))
     one = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     small = met.where("not large").join(one, "class").select(F.col("key").alias("cell"), F.lit(2).alias("side"), "class", "n", "bits")
     # a large bucket is counted, key by key in the tasks first, and split into tiles; every two of them make a cell

@@ -107,16 +107,21 @@ def test_bits_never_exceed_the_difference():
         assert len(np.intersect1d(flat[: starts[1]], flat[starts[1] :])) == sum((Counter(a) & Counter(b)).values())
 
 
-@pytest.mark.parametrize("size", [1, 3, 1000])
-def test_meetings_are_the_shared_buckets(size, monkeypatch):
-    import pyarrow as pa
-
+@pytest.mark.parametrize("held", [10, 1000])
+def test_meetings_are_the_shared_buckets(held, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 4)
-    rng = np.random.default_rng(size)
-    key = np.sort(np.concatenate([rng.integers(0, 60, 150), np.full(40, 30), np.full(9, 59)]))
+    monkeypatch.setattr(neardup, "SLICE", 8)
+    monkeypatch.setattr(neardup, "HELD", held)
+    rng = np.random.default_rng(held)
+    slices = neardup.Slices(150)
+    key = np.concatenate([rng.integers(0, 60, 150), np.full(40, 30), np.full(9, 59)]).astype(np.uint64) << np.uint64(slices.shift - 2)
     classes = rng.integers(0, 12, len(key))
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + size]), pa.array(classes[a : a + size])], ["key", "class"]) for a in range(0, len(key), size)]
-    out = [tuple(r.values()) for b in neardup.meetings(iter(batches)) for r in b.to_pylist()]
+    parts = [slices.pack(key[a : a + 50], classes[a : a + 50]) for a in range(0, len(key), 50)]
+    packed = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: r["slice"])
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pylist(packed[k : k + 3], parts[0].schema) for k in range(0, len(packed), 3)]
+    out = [tuple(r.values()) for b in slices.meetings(iter(batches)) for r in b.to_pylist()]
     buckets = {k: set(classes[key == k].tolist()) for k in key.tolist()}
     assert {(k, c) for k, c, _ in out} == {(k, c) for k, v in buckets.items() if len(v) > 1 for c in v}
     assert {k for k, _, large in out if large} == {k for k, v in buckets.items() if len(v) > 4}
