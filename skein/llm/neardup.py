@@ -64,29 +64,36 @@ def elements(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (word, occurrence) of several texts, one after the other and sorted in each, and where each begins."""
     sizes = np.array([len(w) for w in found], np.int64)
     flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found)), np.uint64, int(sizes.sum()))
-    text = np.repeat(np.arange(len(found)), sizes)
-    flat = flat[np.lexsort((flat, text))]
-    again = np.concatenate([[False], (flat[1:] == flat[:-1]) & (text[1:] == text[:-1])])
+    starts = np.cumsum(sizes) - sizes
+    spans = list(zip(starts.tolist(), (starts + sizes).tolist()))
+    for a, b in spans:
+        flat[a:b].sort()
+    again = np.zeros(len(flat), bool)
+    again[1:] = flat[1:] == flat[:-1]
+    again[starts] = False
     if again.any():
         # the k-th repetition of a word is an element of its own
         at = np.arange(len(flat))
-        nth = (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64)
-        flat = np.where(again, flat * np.uint64(0x9E3779B97F4A7C15) + nth * np.uint64(0xD6E8FEB86659FD93), flat)
-        flat = flat[np.lexsort((flat, text))]
-    return flat, np.cumsum(sizes) - sizes
+        nth = (at - np.maximum.accumulate(np.where(again, 0, at)))[again].astype(np.uint64)
+        flat[again] = flat[again] * np.uint64(0x9E3779B97F4A7C15) + nth * np.uint64(0xD6E8FEB86659FD93)
+        for a, b in spans:
+            flat[a:b].sort()
+    return flat, starts
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Band keys (rows x BANDS) of element sets that lie one after the other in flat."""
-    lows = np.empty((len(starts), BANDS * ROWS), np.uint64)
+    lows = np.empty((BANDS * ROWS, len(starts)), np.uint32)
     short = (flat >> np.uint64(32)).astype(np.uint32)
+    mixed = np.empty_like(short)
     for k in range(BANDS * ROWS):
-        lows[:, k] = np.minimum.reduceat((short + SHIFTS[k]) * SALTS[k], starts)
-    key = np.zeros((len(starts), BANDS), np.uint64)
+        np.multiply(np.add(short, SHIFTS[k], out=mixed), SALTS[k], out=mixed)
+        np.minimum.reduceat(mixed, starts, out=lows[k])
+    key = np.zeros((BANDS, len(starts)), np.uint64)
     for k in range(ROWS):
-        key = (key ^ lows[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ lows[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    return key + np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0xD6E8FEB86659FD93)
+    return (key + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)).T
 
 
 def bitmaps(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
