@@ -1,13 +1,16 @@
 """The k most similar vectors of every vector, by robust-pruned directed graphs over shards.
 
 Vectors are normalised and go to the shard of a similar sampled vector (a pivot), so that tight groups stay together;
-those without a similar pivot go to the shard of the nearest centroid, and as queries also visit the shards whose
-centroid is nearly as near. A tight group that fills more than one shard is split by centroids; its vectors also ask as many of
-the group's other shards as the sample shows to be needed. In each shard a directed graph is grown: greedy searches over the graph so far propose the
-neighbours of a block of new vectors, relaxed distance pruning keeps edges in diverse directions, and edges are
-entered backwards too. A beam search over the finished graph answers every query of the shard; the beam is widened
-where sampled queries show that it misses neighbours. All searches of a
-block advance together as numpy matrices.
+those without a similar pivot go to the shard of the nearest centroid. Besides its own shard a vector asks all whose
+centroid is less similar to it than the nearest one by no more than a margin. The margins, for vectors with a similar
+pivot, without one, and of groups that fill several shards, are read off the true neighbours of trial vectors, which
+one pass over all vectors finds: structured vectors ask one or two shards, unstructured ones nearly all. Shards that
+outgrow their size are split into parts; who asks such a shard asks all of its parts.
+
+In each part a directed graph is grown: greedy searches over the graph so far propose the neighbours of a block of new
+vectors, relaxed distance pruning keeps edges in diverse directions, and edges are entered backwards too. A beam search
+over the finished graph answers every query of the part; the beam is widened where trial queries show that it misses
+neighbours. All searches of a block advance together as numpy matrices.
 """
 
 from __future__ import annotations
@@ -16,25 +19,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.plans.layout import cut
+from skein.plans.layout import cut, stored
 
-#: Vectors that a shard should hold, most shards, and the bounded sample that centroids are fitted on.
+#: Vectors that a shard should hold, most centroids, and the bounded sample that centroids are fitted on.
 SHARD, MOST_SHARDS, SAMPLE_PER_SHARD, MOST_SAMPLE = 8192, 8192, 1024, 131_072
+#: Bytes of the sample's vectors, whatever their length; at most twice as many come to the driver, and as many go out.
+MOST_BYTES = 1 << 25
 #: Cosine from which a pivot counts as similar, and the nearest centroids whose pivots are looked at.
 TIGHT, LOOK = 0.8, 5
-#: A query also visits shards whose centroid is less similar than the nearest by at most NEAR, PROBES in all.
-PROBES, NEAR = 5, 0.12
+#: Cosine from which unit vectors of single precision count as equal.
+EQUAL = 1 - 1e-6
 #: Edges kept by pruning, edges that a list may hold before it is pruned, the relaxation of distances.
 DEGREE, SLACK, ALPHA = 10, 14, 1.15
 #: Beam widths of the searches that build and of those that answer, and how many beams a step expands.
 BUILD_BEAM, BEAM, STEP = 12, 14, 5
 BLOCK = 512
-#: Share of the nearest pivots that the asked shards of a split group must hold, share of the nearest vectors that a
-#: beam must find, and how many sampled queries tell both.
-COVER, FOUND, TRIAL = 0.97, 0.95, 256
+#: Share of the trial vectors' neighbours that the asked shards must hold, share of the nearest vectors that a beam must
+#: find, and how many trial vectors of a kind tell both.
+COVER, FOUND, TRIAL = 0.98, 0.95, 256
 
 
 class Graph:
@@ -249,20 +254,34 @@ class Router:
     """Centroids and pivots, fitted on a bounded sample, that send vectors to shards.
 
     Pivots similar to each other belong to one shard, unless so many are that they stand for more than a shard: then
-    each stays in its centroid's shard, and group_shards and asks tell which shards such a group has and how many of
-    them, those of the nearest centroids first, a vector asks.
+    each stays in its centroid's shard. A vector is of kind 0 without a similar pivot, 1 with one, 2 with one of a
+    group that fills several shards. margin has the widest gap of a kind between the similarities of the nearest
+    centroid and of a centroid whose shard is asked, and parts the parts of each shard.
     """
 
-    def __init__(self, sample: np.ndarray, shards: int) -> None:
+    def __init__(self, sample: np.ndarray, shards: int, vectors: int = 0, k: int = 5) -> None:
         self.centers = fit_centroids(sample, shards) if shards > 1 else np.zeros((1, sample.shape[1]), np.float32)
         of = (sample @ self.centers.T).argmax(axis=1)
         order = np.argsort(of, kind="stable")
         self.pivots, self.shard = sample[order], of[order].astype(np.int32)
         self.start = np.searchsorted(self.shard, np.arange(shards + 1))
-        self.split, self.group_shards, self.asks = np.full(len(sample), -1, np.int32), [], []
-        if shards == 1:
-            return
-        root = np.arange(len(sample))
+        self.target, self.split, self.margin = self.shard, np.zeros(len(sample), bool), np.zeros(3)
+        if shards > 1:
+            root = self.groups()
+            size = np.bincount(root, minlength=len(sample))[root]
+            self.target = np.where(size * shards <= len(sample), self.shard[root], self.shard)
+            self.split = size * shards > len(sample)
+        self.parts = np.maximum(1, np.round(np.bincount(self.target, minlength=shards) / max(1, len(sample)) * vectors / (2 * SHARD))).astype(np.int64)
+        self.offset = np.cumsum(self.parts) - self.parts
+        if shards > 1:
+            # until the true neighbours of trial vectors are known, those in the sample stand for them
+            self.trial = self.trials()
+            near = self.pivots[np.concatenate([self.nearest_pivots(self.trial[a : a + 64], k) for a in range(0, len(self.trial), 64)])]
+            self.calibrate([(t, v) for t, row in enumerate(near) for v in row])
+
+    def groups(self) -> np.ndarray:
+        """For each pivot the first pivot that similar ones lead to."""
+        root = np.arange(len(self.pivots))
         one, two = self.similar()
         while True:
             low = root.copy()
@@ -270,16 +289,33 @@ class Router:
             np.minimum.at(low, two, root[one])
             low = low[low]
             if (low == root).all():
-                break
+                return root
             root = low
-        size = np.bincount(root, minlength=len(sample))
-        self.target = np.where(size[root] * shards <= len(sample), self.shard[root], self.shard)
-        for g in np.flatnonzero(size * shards > len(sample)):
-            members = np.flatnonzero(root == g)
-            if len(held := np.unique(self.shard[members])) > 1:
-                self.split[members] = len(self.asks)
-                self.group_shards.append(held)
-                self.asks.append(self.needed(members, held))
+
+    def trials(self) -> np.ndarray:
+        """Up to TRIAL pivots of each kind."""
+        order = np.random.default_rng(13).permutation(len(self.pivots))
+        kind = self.placed(self.pivots[order])[1]
+        return self.pivots[order[np.concatenate([np.flatnonzero(kind == c)[:TRIAL] for c in range(3)])]]
+
+    def nearest_pivots(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The k most similar pivots of each vector but its equals."""
+        sims = x @ self.pivots.T
+        sims[sims > EQUAL] = -2
+        few = min(k, sims.shape[1])
+        return np.argpartition(-sims, few - 1, axis=1)[:, :few]
+
+    def calibrate(self, pairs: list[tuple[int, np.ndarray]]) -> None:
+        """Set the margins from (trial, a neighbour of it): they hold the share COVER of a kind's pairs."""
+        if not pairs or len(self.centers) == 1:
+            return
+        sims, kind, home = self.placed(self.trial)
+        at = np.array([t for t, _ in pairs])
+        theirs = self.placed(np.stack([v for _, v in pairs]))[2]
+        gap = np.where(theirs == home[at], 0, sims.max(axis=1)[at] - sims[at, theirs])
+        for c in range(3):
+            if (of := gap[kind[at] == c]).size:
+                self.margin[c] = np.quantile(of, COVER, method="higher") + 1e-6
 
     def blocks(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """For the pivots of each shard: the rows that look at them, the first pivot, and the cosines."""
@@ -307,69 +343,80 @@ class Router:
             two.append(low + top[a, b])
         return np.concatenate(one), np.concatenate(two)
 
-    def needed(self, members: np.ndarray, held: np.ndarray, k: int = 5) -> int:
-        """How many of a group's shards, in each pivot's order, hold the share COVER of its nearest pivots of the group."""
-        rows = np.random.default_rng(13).permutation(members)[:TRIAL]
-        counts = np.zeros(len(held), np.int64)
-        for a in range(0, len(rows), 64):
-            part = rows[a : a + 64]
-            sims = self.pivots[part] @ self.pivots[members].T
-            sims[members[None] == part[:, None]] = -2
-            few = min(k, len(members) - 1)
-            near = members[np.argpartition(-sims, few - 1, axis=1)[:, :few]]
-            order = held[self.nearness(self.pivots[part], self.shard[part], held)]
-            place = (order[:, None, :] == self.shard[near][:, :, None]).argmax(axis=2)
-            counts += np.bincount(place.ravel(), minlength=len(held))
-        return 1 + int(np.searchsorted(np.cumsum(counts), COVER * counts.sum()))
-
-    def nearness(self, x: np.ndarray, home: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """For each vector the positions in held, its own shard first, then by the similarity of the centroids."""
-        sims = x @ self.centers[held].T
-        sims[held[None] == home[:, None]] = 2
-        return np.argsort(-sims, axis=1, kind="stable")
-
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The most similar pivot of each vector among the nearest centroids' pivots, and its cosine."""
+        """The most similar pivot of each vector among the nearest centroids' pivots, and its cosine.
+
+        Equal pivots are left out, so that sampled vectors are treated as all others are.
+        """
         best, value = np.zeros(len(x), np.int64), np.full(len(x), -2, np.float32)
         for rows, low, got in self.blocks(x):
+            got[got > EQUAL] = -2
             at = got.argmax(axis=1)
             top = got[np.arange(len(rows)), at]
             better = top > value[rows]
             value[rows[better]], best[rows[better]] = top[better], low + at[better]
         return best, value
 
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shard, role) of the places of vectors: role 0 where a vector is indexed and asks, 1 where it only asks."""
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Similarities to the centroids, kinds and own shards of vectors."""
+        sims = x @ self.centers.T
         if len(self.centers) == 1:
-            return np.arange(len(x)), np.zeros(len(x), np.int32), np.zeros(len(x), np.int8)
+            return sims, np.zeros(len(x), np.int8), np.zeros(len(x), np.int64)
         pivot, value = self.nearest(x)
-        home = self.target[pivot]
-        loose = np.flatnonzero(value < TIGHT)
-        tight = np.flatnonzero(value >= TIGHT)
-        rows, shards, roles = [tight], [home[tight]], [np.zeros(len(tight))]
-        split = self.split[pivot[tight]]
-        for g in np.unique(split[split >= 0]):
-            own = tight[split == g]
-            more = self.group_shards[g][self.nearness(x[own], home[own], self.group_shards[g])[:, 1 : self.asks[g]]]
-            rows.append(np.repeat(own, more.shape[1]))
-            shards.append(more.ravel())
-            roles.append(np.ones(more.size))
-        sims = x[loose] @ self.centers.T
-        width = min(PROBES, len(self.centers))
-        near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-        value = np.take_along_axis(sims, near, axis=1)
-        first = near[np.arange(len(loose)), value.argmax(axis=1)]
-        at, col = np.nonzero(value >= value.max(axis=1, initial=-2)[:, None] - NEAR)
-        shard = near[at, col]
-        return np.concatenate([*rows, loose[at]]), np.concatenate([*shards, shard]).astype(np.int32), np.concatenate([*roles, shard != first[at]]).astype(np.int8)
+        tight = value >= TIGHT
+        return sims, np.where(tight, np.where(self.split[pivot], 2, 1), 0), np.where(tight, self.target[pivot], sims.argmax(axis=1))
+
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, part, role) of the places of vectors: role 0 where a vector is indexed and asks, 1 where it only asks."""
+        sims, kind, home = self.placed(x)
+        margin = self.margin[kind][:, None]
+        asks = (sims >= sims.max(axis=1, keepdims=True, initial=-2) - margin) & (margin > 0)
+        asks[np.arange(len(x)), home] = True
+        row, shard = np.nonzero(asks)
+        # a vector is indexed in one part of its shard, by a hash of its bits, and asks every part
+        count = self.parts[shard]
+        row, shard, role = np.repeat(row, count), np.repeat(shard, count), np.repeat((home[row] != shard).astype(np.int8), count)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        mixed = (np.ascontiguousarray(x).view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1) >> np.uint64(40)
+        role[part != (mixed[row] % self.parts[shard].astype(np.uint64)).astype(np.int64)] = 1
+        return row, (self.offset[shard] + part).astype(np.int32), role
+
+    @property
+    def total(self) -> int:
+        return int(self.parts.sum())
+
+
+def true_neighbours(nodes: DataFrame, trial: np.ndarray, dim: int, k: int) -> list[tuple[int, np.ndarray]]:
+    """(trial, neighbour): the k most similar vectors, by one pass over all; every task keeps k of each trial vector."""
+    few = nodes.sparkSession.sparkContext.broadcast(trial)
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = few.value
+        near, found = np.full((len(asked), k), -2, np.float32), np.zeros((len(asked), k, dim), np.float32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                x = np.frombuffer(b"".join(batch.column(0).slice(a, 4096).to_pylist()), np.float32).reshape(-1, dim)
+                sims = asked @ x.T
+                sims[sims > EQUAL] = -2
+                for t in np.flatnonzero((sims > near.min(axis=1)[:, None]).any(axis=1)):
+                    better = np.flatnonzero(sims[t] > near[t].min())
+                    all_near = np.concatenate([near[t], sims[t, better]])
+                    keep = np.argsort(-all_near, kind="stable")[:k]
+                    near[t], found[t] = all_near[keep], np.concatenate([found[t], x[better]])[keep]
+        row, col = np.nonzero(near > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(near[row, col]), pa.array([v.tobytes() for v in found[row, col]], pa.binary())], ["trial", "near", "vec"])
+
+    kept = nodes.select("vec").mapInArrow(seek, "trial int, near float, vec binary")
+    best = kept.withColumn("_n", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("near"), "vec"))).where(F.col("_n") <= k)
+    return [(r["trial"], np.frombuffer(r["vec"], np.float32)) for r in best.select("trial", "vec").collect()]
 
 
 def nearest_neighbours(df: DataFrame, ident: str, embedding: str, dim: int, k: int = 5) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar other vectors of every usable vector.
 
     The accuracy is that of the graph search (recall against brute force is measured in the tests and the README).
-    Centroids are fitted on at most MOST_SAMPLE vectors, taken by a hash of their ids; every vector is indexed and
-    every vector is a query. Copies of one vector form one class: the graph holds the class, and its members see
+    Centroids are fitted on at most MOST_SAMPLE vectors of MOST_BYTES in all, taken by a hash of their ids; every
+    vector is indexed and every vector is a query. Copies of one vector form one class: the graph holds the class, and its members see
     the smallest ids among the class's members.
 
     Defined results: vectors that are null, of another length, all zero, or with a value that is null or not
@@ -387,7 +434,7 @@ def nearest_neighbours(df: DataFrame, ident: str, embedding: str, dim: int, k: i
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), blob], ["id", "vec"])
 
     source = df.select(F.col(ident).cast("long").alias("id"), F.col(embedding).alias("embedding")).where(F.col("id").isNotNull() & (F.size("embedding") == dim))
-    usable = source.mapInArrow(units, "id long, vec binary")
+    usable = stored(source.mapInArrow(units, "id long, vec binary"))
     # copies under several ids make classes; without any, every vector is its own class and no shuffle is needed
     copies = usable.groupBy(F.xxhash64("vec").alias("h")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).agg(F.count("*").alias("n"), F.max((F.col("lo") != F.col("hi")).cast("int")).alias("any")).first()
     if not copies["n"]:
@@ -395,23 +442,28 @@ def nearest_neighbours(df: DataFrame, ident: str, embedding: str, dim: int, k: i
     members = None
     nodes = usable
     if copies["any"]:
-        members = cut(usable.distinct().withColumn("class", F.min("id").over(_by("vec"))))
-        nodes = members.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
+        # the smallest id names the class, combined in the tasks; the copies of a vector are never gathered
+        nodes = cut(usable.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
+        members = cut(usable.distinct().join(nodes.select("vec", F.col("id").alias("class")), "vec").select("id", "class"))
     shards = int(max(1, min(MOST_SHARDS, round(copies["n"] / SHARD))))
-    take = min(MOST_SAMPLE, shards * SAMPLE_PER_SHARD)
-    # at most twice MOST_SAMPLE vectors of fixed length come to the driver, and as many go out as pivots
+    take = min(MOST_SAMPLE, MOST_BYTES // bytes_of, shards * SAMPLE_PER_SHARD)
     if copies["n"] <= 4 * take:
         drawn = nodes.orderBy(F.xxhash64("id"), "vec").limit(take).toPandas()
     else:
         bound = int((1 << 30) * 1.1 * take / copies["n"])
         drawn = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(bound)).limit(2 * take).toPandas().sort_values(["id", "vec"])
-    shared = spark.sparkContext.broadcast(Router(np.frombuffer(b"".join(drawn["vec"]), np.float32).reshape(-1, dim), shards))
+    router = Router(np.frombuffer(b"".join(drawn["vec"]), np.float32).reshape(-1, dim), shards, copies["n"], k)
+    if shards > 1:
+        router.calibrate(true_neighbours(nodes, router.trial, dim, k))
+    shards = router.total
+    shared = spark.sparkContext.broadcast(router)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            size = max(256, min(4096, (1 << 24) // len(router.centers)))
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
                 row, shard, role = router.route(np.frombuffer(b"".join(part.column(1).to_pylist()), np.float32).reshape(-1, dim))
                 index = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), part.column(0).take(index), part.column(1).take(index)], ["shard", "role", "id", "vec"])
@@ -459,12 +511,6 @@ def nearest_neighbours(df: DataFrame, ident: str, embedding: str, dim: int, k: i
     return best_links(links, k)
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def best_links(links: DataFrame, k: int) -> DataFrame:
     """The k best distinct neighbours of each id; an id has at most k links from each shard that it asks."""
     pair = F.struct((-F.col("similarity")).alias("far"), F.col("neighbour").alias("neighbour"))
@@ -475,8 +521,6 @@ def best_links(links: DataFrame, k: int) -> DataFrame:
 
 def _expand(links: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Links of classes as links of members: every member sees the k + 1 smallest ids of each class near its own."""
-    from pyspark.sql import Window
-
     few = members.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("_n") <= k + 1).select("class", F.col("id").alias("member"))
     near = best_links(links, k).select(F.col("id").alias("class"), F.col("neighbour"), "similarity")
     own = members.select("class").distinct().select("class", F.col("class").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
