@@ -85,6 +85,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(cut(sized_documents(spark, d)), table(spark, d, "mix_targets"), "doc_id")[1]
 
 
+def p7_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source's tokens are within four standard deviations of rounding from its goal, or all used if short."""
+    return p7_report(spark, d).select("source", "target_share", "max_passes", "within")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).where("level >= 4").select("doc_id")
 
@@ -94,7 +99,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p2_groups, p3_found, p4_found, p4_sentences, p5_found, p5_ranked, p6_ids, p7_found, p7_copies, p7_report, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p2_groups, p3_found, p4_found, p4_sentences, p5_found, p5_ranked, p6_ids, p7_found, p7_copies, p7_report, p7_within, p8_found, p8_levels)}
 
 
 RANKED = """
@@ -109,5 +114,9 @@ WHERE place <= 5"""
 COVERED = "SELECT strategy, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, 0 AS too_long, 0 AS apart, 0 AS hollow FROM fixed_chunks WHERE text IS NOT NULL GROUP BY strategy"
 
 
+#: Every target must be within its tolerance.
+WITHIN = "SELECT source, target_share, max_passes, true AS within FROM mix_targets"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_coverage": COVERED, "p5_ranked": RANKED, "p5_found": f"SELECT result_id FROM ({RANKED})"}
+    return {"p7_within": WITHIN, "p1_coverage": COVERED, "p5_ranked": RANKED, "p5_found": f"SELECT result_id FROM ({RANKED})"}
