@@ -8,16 +8,15 @@ minimum rank, found in a hash table over pairs; rows without a mergeable pair le
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from skein.plans.layout import spread
 
@@ -25,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern of the byte_bpe_50k tokenizer (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
-#: Pieces longer than this take the heap, whose cost does not grow with the square of the length.
+#: Pieces longer than this are rows of their own, whose cost does not grow with the square of the length.
 LONG = 256
 #: Merged pieces that a Python worker remembers; the memory is bounded, results do not depend on it.
 REMEMBERED = 300_000
@@ -34,9 +33,8 @@ REMEMBERED = 300_000
 class BytePairs:
     """Ranks of one vocabulary file, with a hash table from pairs of ids to the id of their merge."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, lines: bytes) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.width = max(self.ranks.values()) + 1
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs: dict[int, int] = {}
@@ -45,7 +43,6 @@ class BytePairs:
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a * self.width + b] = rank
-        self.pairs = pairs
         keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
         self.bits = max(10, int(len(keys) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -125,26 +122,26 @@ class BytePairs:
         return done
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """One long piece by a heap of pairs over a linked list, in the same order of merges."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        find, width = self.pairs.get, self.width
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := find(ids[i] * width + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if right >= 0 and (r := find(ids[left] * width + ids[right])) is not None:
-                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
-        return [x for x in ids if x >= 0]
+        """One long piece as a row of its own: a round merges all places of the least pair at once, from the left.
+
+        No merge of a trained vocabulary makes a pair of lower rank than its own, so the order of merges is that of
+        merge_matrix, but a round is paid for each rank that occurs and not for each merge.
+        """
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].astype(np.int64)
+        ranks = self.lookup(ids[:-1] * self.width + ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # places that overlap, in runs of one repeated id: every other one merges
+            each = np.arange(len(at))
+            head = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(each - np.maximum.accumulate(np.where(head, each, 0))) % 2 == 0]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            now = at - np.arange(len(at))
+            around = np.unique(np.concatenate([now - 1, now]))
+            around = around[(around >= 0) & (around < len(ranks))]
+            ranks[around] = self.lookup(ids[around] * self.width + ids[around + 1])
+        return ids.tolist()
 
     def merge_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         coded = [p.encode() for p in pieces]
@@ -177,10 +174,21 @@ class BytePairs:
         return [list(chain.from_iterable([ids[p] for p in c])) for c in cut]
 
 
-@cache
-def byte_pairs(path: str) -> BytePairs:
-    """One table for each Python worker and vocabulary file."""
-    return BytePairs(path)
+_tables: dict[int, BytePairs] = {}
+
+
+def byte_pairs(lines: bytes) -> BytePairs:
+    """One table for each Python worker and vocabulary."""
+    key = hash(lines)
+    if key not in _tables:
+        _tables[key] = BytePairs(lines)
+    return _tables[key]
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The driver's vocabulary file, as large as it is, sent along with the job."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -198,13 +206,14 @@ def encode_texts(df: DataFrame, ident: str, text: str, vocabulary: str = VOCABUL
 
     Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary
     text; rows are kept one for one, repeated ones too, and null ids stay null; an empty table gives no rows.
-    The vocabulary file must lie at the given path on every executor.
+    The vocabulary file is read by the driver and sent to the executors.
     """
+    lines = shipped(df.sparkSession, vocabulary)
     rows = spread(df.select(ident, text), ident)
     kind = rows.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = byte_pairs(vocabulary)
+        tokens = byte_pairs(lines.value)
         for batch in batches:
             for part in slices(batch, 1):
                 ids = tokens.encode(part.column(1).to_pylist())
@@ -217,11 +226,12 @@ def encode_texts(df: DataFrame, ident: str, text: str, vocabulary: str = VOCABUL
 
 def count_tokens(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The kept columns and n_tokens of each row's text (0 for null and empty ones)."""
+    lines = shipped(df.sparkSession, vocabulary)
     rows = spread(df.select(*keep, text), *keep[:1])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = byte_pairs(vocabulary)
+        tokens = byte_pairs(lines.value)
         for batch in batches:
             for part in slices(batch, len(keep)):
                 counts = pa.array([len(x) for x in tokens.encode(part.column(len(keep)).to_pylist())], pa.int64())

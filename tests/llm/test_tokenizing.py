@@ -7,6 +7,13 @@ from hypothesis import strategies as st
 
 from skein.llm.tokenizing import LONG, PATTERN, VOCABULARY, byte_pairs, count_tokens, encode_texts
 
+
+
+def own_tables():
+    with open(VOCABULARY, "rb") as f:
+        return byte_pairs(f.read())
+
+
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 ODD = ["", "a" * (LONG * 5), " " * 700 + "x", "<|endoftext|> hi", "\n\n \t", "don't WE'LL 're", "日本語" * 200, "é" * 400, "🙂🙃" * 120, "x  ", "\x00\x01", "ab" * 300]
 
@@ -21,21 +28,36 @@ def library():
 
 
 def test_odd_texts(library):
-    assert byte_pairs(VOCABULARY).encode(ODD) == [library.encode_ordinary(t) for t in ODD]
+    assert own_tables().encode(ODD) == [library.encode_ordinary(t) for t in ODD]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=120), max_size=12))
 def test_any_texts(library, texts):
-    assert byte_pairs(VOCABULARY).encode(texts) == [library.encode_ordinary(t) for t in texts]
+    assert own_tables().encode(texts) == [library.encode_ordinary(t) for t in texts]
 
 
-def test_heap_and_matrix_agree():
-    tables = byte_pairs(VOCABULARY)
-    for t in ("internationalisation", "aaaaaaaabaaaa", "Überraschung"):
+def test_rows_of_their_own_and_matrix_agree():
+    tables = own_tables()
+    for t in ("internationalisation", "aaaaaaaabaaaa", "Überraschung", "aaa", "ab", "x"):
         assert tuple(tables.merge_long(t.encode())) == tables.merge_pieces([t])[t]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("aabcdeinrst"), min_size=1, max_size=400), st.sampled_from("ab"))
+def test_long_pieces(library, text, letter):
+    for t in (text, text * 3, letter * len(text) + text):
+        assert own_tables().merge_long(t.encode()) == library.encode_ordinary(t)
+
+
+def test_very_long_piece(library):
+    import random
+
+    random.seed(1)
+    t = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=60_000))
+    assert own_tables().merge_long(t.encode()) == library.encode_ordinary(t)
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "hello world", 5), (2, None, 6), (3, "", 7), (1, "hello world", 5), (None, "a", 1)], "doc_id long, text string, ids int")
     rows = encode_texts(df, "doc_id", "text").collect()
