@@ -32,6 +32,7 @@ WINDOW = 200
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 URL = re.compile(r"(?:https?://|www\.|mailto:)\S+")
 QUOTED = re.compile(r"(?:^|(?<=[\s]))>+\s[^\n\r]*", re.M)
+LISTED = re.compile(r"^(?:[-*•]|\d{1,3}[.)])\s+")
 ENDED = re.compile(r"[.!?…。！？।؟:;,\"”’'»」)][\s*_]*$")
 THAI_OR_HAN = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 #: Thai has no marks at sentence ends; its spaces stand for them.
@@ -57,30 +58,38 @@ def prose(text: str | None) -> str:
     if not text:
         return ""
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2029", "\n\n").replace("\u2028", "\n")
-    text = QUOTED.sub(" ", FENCE.sub("\n\n", text))
+    if "```" in text or "~~~" in text:
+        text = FENCE.sub("\n\n", text)
+    if ">" in text:
+        text = QUOTED.sub(" ", text)
+    linked = any(mark in text for mark in ("://", "www.", "mailto:"))
     out = []
     for paragraph in re.split(r"\n[^\S\n]*\n", text):
         lines = []
         for line in paragraph.split("\n"):
             bare = line.strip()
-            if not bare or bare[0] in "#|" or bare.count("|") > 2 or line.startswith(("    ", "\t")) or not URL.sub("", bare).strip(" -*•()<>[]·"):
+            if not bare or bare[0] in "#|" or bare.count("|") > 2 or line.startswith(("    ", "\t")) or not (URL.sub("", bare) if linked else bare).strip(" -*•()<>[]·"):
                 continue
-            lines.append(URL.sub(" ", re.sub(r"^(?:[-*•]|\d{1,3}[.)])\s+", "", bare)))
+            if bare[0] in "-*•" or bare[0].isdecimal():
+                bare = LISTED.sub("", bare)
+            lines.append(URL.sub(" ", bare) if linked else bare)
         if len(lines) == 1 and len(lines[0]) < 60 and not ENDED.search(lines[0]) and not THAI_OR_HAN.search(lines[0]):
             continue
         out.append("\n".join(lines))
     return "\n\n".join(p for p in out if p)
 
 
-#: What a worker remembers of words: bucket, length and whether a connective; bounded, results do not depend on it.
-_known: dict[str, tuple[int, int, int]] = {}
+class Known(dict):
+    """What a worker remembers of words, in one number: bucket, length and whether a connective; bounded."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = zlib.crc32(word.encode()) % BUCKETS | min(len(word), 4095) << 20 | (word in CONNECTIVES) << 32
+        return out
 
-def learn(word: str) -> tuple[int, int, int]:
-    if len(_known) > 500_000:
-        _known.clear()
-    out = _known[word] = (zlib.crc32(word.encode()) % BUCKETS, len(word), int(word in CONNECTIVES))
-    return out
+
+_known = Known()
 
 
 def words_of(text: str) -> list[str]:
@@ -125,16 +134,15 @@ def measure(text: str | None) -> Measures | None:
     if len(words) < 3:
         return None
     n = len(words)
-    known = _known
-    of = np.array([known.get(w) or learn(w) for w in words])
-    ids, lengths = of[:, 0], of[:, 1]
+    of = np.fromiter(map(_known.__getitem__, words), np.int64, n)
+    ids, lengths = of & 0xFFFFF, of >> 20 & 0xFFF
     mixed = bool(THAI_OR_HAN.search(body))
     pieces = [p for p in (SPACE if THAI.search(body) else SENTENCE_END).split(body) if p.strip()]
-    per = np.array([p.strip().count(" ") + 1 if not mixed or not THAI_OR_HAN.search(p) else len(p) / 2 for p in pieces] or [n])
-    unspaced = sum(bool(THAI_OR_HAN.match(w)) for w in words) / n if mixed else 0.0
+    per = np.array(([len(p) / 2 if THAI_OR_HAN.search(p) else p.strip().count(" ") + 1 for p in pieces] if mixed else [p.strip().count(" ") + 1 for p in pieces]) or [n])
+    unspaced = sum(map(bool, map(THAI_OR_HAN.match, words))) / n if mixed else 0.0
     plain = [
         np.log1p(len(body)), np.log1p(n), np.log1p(per.mean()), float((per > 25).mean()), float(lengths.mean()), float((lengths > 8).mean()),
-        diversity(ids), float(of[:, 2].mean()), len(CLAUSE_MARK.findall(body)) / max(1, len(pieces)), unspaced,
+        diversity(ids), float((of >> 32).mean()), len(CLAUSE_MARK.findall(body)) / max(1, len(pieces)), unspaced,
     ]
     return Measures(ids, plain, n)
 
