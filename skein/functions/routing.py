@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skein.functions import text as T
 
@@ -62,6 +64,22 @@ def composite(isrel: Column, issup: Column, isuse: Column) -> Column:
     return WEIGHTS[0] * F.when(isrel == "relevant", 1.0).otherwise(0.0) + WEIGHTS[1] * worth(issup, SUPPORT) + WEIGHTS[2] * worth(isuse, USE)
 
 
+def retrieves(query: Column) -> Column:
+    """Whether a query is worth a retrieval: always, if there is one."""
+    return F.when(query.isNotNull(), "yes").otherwise("no")
+
+
+def action(n_correct: Column, n_ambiguous: Column) -> Column:
+    """What the labels of a query's hits ask for: correct with a correct one, else ambiguous with such, else wrong."""
+    return F.when(n_correct > 0, "correct").when(n_ambiguous > 0, "ambiguous").otherwise("wrong")
+
+
+def appended(history: Column, role: Column, text: Column, most: int = 6) -> Column:
+    """A history, an array of (role, text), with one message more, cut to the last `most` ones."""
+    whole = F.concat(F.coalesce(history, F.array().cast("array<struct<role:string,text:string>>")), F.array(F.struct(role.alias("role"), text.alias("text"))))
+    return F.slice(whole, F.greatest(F.lit(1), F.size(whole) - most + 1), F.lit(most))
+
+
 def rewritten(query: Column, prefix: str = "detailed explanation of ") -> Column:
     return F.concat(F.lit(prefix), query)
 
@@ -72,7 +90,10 @@ def in_conversation(query: Column, last_answer: Column, empty: Column) -> Column
 
 
 def calculate(expression: str | None) -> str:
-    """Value of an arithmetic expression over numbers, + - * / % ** and brackets; anything else is an error text."""
+    """Value of an arithmetic expression over numbers, + - * / // % ** and brackets; anything else is an error text.
+
+    So are, for safety, expressions of more than 200 characters, powers above 64 and powers of numbers above a million.
+    """
     import ast
     import operator as op
 
@@ -100,3 +121,9 @@ def calculate(expression: str | None) -> str:
         return f"Calculation result: {expression} = {value(ast.parse(expression.strip(), mode='eval'))}"
     except Exception as e:
         return f"Calculation error: {e}"
+
+
+@F.pandas_udf(StringType())
+def calculated(expressions: pd.Series) -> pd.Series:
+    """calculate() over a column, in Arrow batches."""
+    return expressions.map(lambda e: calculate(None if e is None else str(e)))

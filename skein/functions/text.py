@@ -49,13 +49,25 @@ def paragraphs(text: Column) -> Column:
     return filled(F.split(text, "\n\n"))
 
 
-def word_tokens(text: Column, most: int = 64) -> Column:
-    """Lower-case word tokens, the stand-in for a model's tokenizer, cut off at the model's length."""
-    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0)), 1, most)
+#: Scripts written without spaces, whose terms are pairs of characters.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters, marks and digits of any script; runs of scripts without spaces give all their pairs."""
+    runs = F.regexp_extract_all(F.regexp_replace(F.lower(text), f"({UNSPACED}+)", " $1 "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{UNSPACED}"), pairs(r)).otherwise(F.array(r))))
+
+
+def word_tokens(text: Column, most: int = 64) -> Column:
+    """The first terms, the stand-in for a model's tokenizer, cut off at the model's length."""
+    return F.slice(terms(text), 1, most)
+
+
+def prefixed(text: Column, prefix: str) -> Column:
+    """The text behind the prefix that a model wants, as `query: ` or `passage: `."""
+    return F.concat(F.lit(prefix), text)
 
 
 def first_words(text: Column, n: int = 30, suffix: str = "...") -> Column:
@@ -69,9 +81,14 @@ def has_any(text: Column, signals: Sequence[str]) -> Column:
     return F.coalesce(reduce(Column.__or__, [F.contains(F.lower(text), F.lit(s)) for s in signals]), F.lit(False))
 
 
-def has_any_word_of(text: Column, key: Column) -> Column:
-    """Whether the lower-cased text contains any word of the key."""
-    return F.exists(F.split(key, "[ _]"), lambda w: (w != "") & F.contains(F.lower(text), w))
+def summary(text: Column) -> Column:
+    """The summarising tool's text (its wording is a fixed value): the first 30 words, marked where there are more."""
+    return F.concat(F.lit("Summary: "), first_words(text, 30, "... [truncated]"))
+
+
+def has_any_word_of(text: Column, key: Column, between: str = " ") -> Column:
+    """Whether the lower-cased text contains any word of the key, words being parted by one of the characters."""
+    return F.exists(F.split(key, f"[{between}]"), lambda w: (w != "") & F.contains(F.lower(text), w))
 
 
 def boundary_flags(text: Column) -> tuple[Column, Column]:

@@ -48,18 +48,21 @@ def scale(a: Column, factor: float) -> Column:
 
 
 def pseudo_embedding(text: Column, dim: int = 64, salt: str = "") -> Column:
-    """Stable pseudo-embedding: Box-Muller over hashes of the text, the salt and the component's number.
+    """Stable pseudo-embedding: Box-Muller over MD5 digests of the text's digest, the salt and the component's number.
 
-    The same on every run, partition and machine; null texts give null.
+    The same on every run, partition, machine and engine that has MD5; the text is read once, whatever the length of
+    the vector; null texts give null.
     """
 
-    def uniform(i: Column, which: int) -> Column:
-        return (F.pmod(F.xxhash64(F.concat(text, F.lit(f"|{salt}|{which}|"), i.cast("string"))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    def uniform(digest: Column, start: int) -> Column:
+        return (F.conv(F.substring(digest, start, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
-    def gauss(i: Column) -> Column:
-        return (F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * 3.141592653589793 * uniform(i, 2))).cast("float")
+    def gauss(digest: Column) -> Column:
+        return (F.sqrt(-2 * F.log(uniform(digest, 1))) * F.cos(2 * 3.141592653589793 * uniform(digest, 13))).cast("float")
 
-    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), gauss))
+    # arrays of one element bind the digest, so that it is not computed for every component
+    names = F.flatten(F.transform(F.array(F.md5(text)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.md5(F.concat(h, F.lit(f"|{salt}|"), i.cast("string"))))))
+    return F.when(text.isNotNull(), F.transform(names, gauss))
 
 
 def image_embedding(description: Column, dim: int = 64) -> Column:

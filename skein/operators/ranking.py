@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.functions.vectors import cosine, dot
+from skein.functions.vectors import cosine, dot, normalize, pseudo_embedding
 from skein.operators.retrieval import literal_vector, top_k
-from skein.plans.layout import cut
+from skein.plans.layout import cut, numbered
+
+Encoder = Callable[[Column], Column]
 
 
 def mmr(df: DataFrame, ident: str, vector: str, query, k: int = 5, balance: float = 0.7) -> DataFrame:
@@ -35,6 +41,36 @@ def mmr(df: DataFrame, ident: str, vector: str, query, k: int = 5, balance: floa
     return df.sparkSession.createDataFrame(picks, f"rank int, id {kind}, score double, redundancy double, mmr_score double")
 
 
+def mmr_batch(candidates: DataFrame, k: int = 5, balance: float = 0.7) -> DataFrame:
+    """MMR of every query over its list of candidates (query_id, id, score, vector): (query_id, rank, id, score, redundancy, mmr_score).
+
+    A query's candidates are the bounded list that a retrieval before gave it, so that one task may hold them; the
+    queries are spread over the tasks. Ties go to the smaller id; candidates without a vector are left out.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+
+    def pick(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("score", "descending"), ("id", "ascending")]).combine_chunks()
+        x = np.array(group.column("vector").to_pylist(), float)
+        sizes = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(sizes > 0, sizes, 1.0)
+        score, near, left = group.column("score").to_numpy(), np.zeros(len(x)), np.ones(len(x), bool)
+        place = np.argsort(np.array(group.column("id").to_pylist()), kind="stable").argsort()
+        picks, values = [], []
+        for n in range(min(k, len(x))):
+            value = np.where(left, np.round(balance * score - (1 - balance) * near, 12), -np.inf)
+            at = int(np.lexsort((place, -value))[0])
+            picks.append(at)
+            values.append((near[at], value[at]))
+            left[at] = False
+            near = x @ x[at] if n == 0 else np.maximum(near, x @ x[at])
+        few = group.take(pa.array(picks))
+        return pa.table([few.column("query_id"), pa.array(range(1, len(picks) + 1), pa.int32()), few.column("id"), few.column("score"), pa.array([v[0] for v in values]), pa.array([v[1] for v in values])], ["query_id", "rank", "id", "score", "redundancy", "mmr_score"])
+
+    rows = candidates.where(F.col("vector").isNotNull() & F.col("score").isNotNull()).select("query_id", "id", F.col("score").cast("double").alias("score"), F.col("vector").cast("array<double>").alias("vector"))
+    return rows.groupBy("query_id").applyInArrow(pick, f"query_id {kinds['query_id']}, rank int, id {kinds['id']}, score double, redundancy double, mmr_score double")
+
+
 def compare_with_mmr(df: DataFrame, ident: str, vector: str, query, k: int = 5, balance: float = 0.7) -> DataFrame:
     """Rank by rank the ids of top-k and of MMR, with a mark where MMR's id is not in top-k, and the number shared."""
     plain = top_k(df, cosine(F.col(vector), literal_vector(query)), ident, k).select("rank", F.col(ident).alias("topk_id"))
@@ -56,9 +92,9 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, query_id: str, doc_id
 
 def best_tokens(query_tokens: DataFrame, doc_tokens: DataFrame, query_id: str, doc_id: str, vector: str, pos: str = "pos") -> DataFrame:
     """(query_id, doc_id, query_pos, best, doc_pos): for each query token the best token of each document, first on ties."""
-    q = query_tokens.select(F.col(query_id).alias("query_id"), F.col(pos).alias("query_pos"), F.col(vector).alias("_q"))
-    d = doc_tokens.select(F.col(doc_id).alias("doc_id"), F.col(pos).alias("doc_pos"), F.col(vector).alias("_d"))
-    pairs = d.join(q, F.lit(True)).select("query_id", "doc_id", "query_pos", "doc_pos", cosine(F.col("_q"), F.col("_d")).alias("sim"))
+    q = query_tokens.select(F.col(query_id).alias("query_id"), F.col(pos).alias("query_pos"), normalize(F.col(vector)).alias("_q"))
+    d = doc_tokens.select(F.col(doc_id).alias("doc_id"), F.col(pos).alias("doc_pos"), normalize(F.col(vector)).alias("_d"))
+    pairs = d.join(q, F.lit(True)).select("query_id", "doc_id", "query_pos", "doc_pos", dot(F.col("_q"), F.col("_d")).alias("sim"))
     best = pairs.groupBy("query_id", "doc_id", "query_pos").agg(F.min(F.struct((-F.col("sim")).alias("far"), "doc_pos")).alias("_b"))
     return best.select("query_id", "doc_id", "query_pos", (-F.col("_b.far")).alias("best"), F.col("_b.doc_pos").alias("doc_pos"))
 
@@ -83,8 +119,59 @@ def rank_by(df: DataFrame, group: str, score: str, ident: str) -> DataFrame:
 
 def disagreements(df: DataFrame, one: str, two: str, ident: str, least: int = 2) -> DataFrame:
     """Rows that two scores rank at least `least` places apart, over one result list."""
-    a, b = (F.row_number().over(Window.orderBy(F.desc(s), F.col(ident))) for s in (one, two))
-    return df.select(ident, a.alias("rank_a"), b.alias("rank_b")).where(F.abs(F.col("rank_a") - F.col("rank_b")) >= least)
+    rows = df
+    for score, name in ((one, "rank_a"), (two, "rank_b")):
+        rows = numbered(rows, [-F.col(score), F.col(ident)]).withColumnRenamed("rank", name).drop("before")
+    return rows.select(ident, "rank_a", "rank_b").where(F.abs(F.col("rank_a") - F.col("rank_b")) >= least)
+
+
+def compare_models(queries: DataFrame, candidates: DataFrame, ident: str, text: str, encoders: dict[str, Encoder], prefixes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(model, query_id, id, score, rank): every candidate's rank for every query, by each of several encoders.
+
+    prefixes has, for models that want them, what is put before queries and before candidates.
+    """
+    out = None
+    for model, encoder in encoders.items():
+        before = (prefixes or {}).get(model, ("", ""))
+        q = queries.select("query_id", normalize(encoder(T.prefixed(F.col("query"), before[0]))).alias("_q"))
+        d = candidates.select(F.col(ident).alias("id"), normalize(encoder(T.prefixed(F.col(text), before[1]))).alias("_d"))
+        rows = d.join(q, F.lit(True)).select(F.lit(model).alias("model"), "query_id", "id", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("model", "query_id").orderBy(F.desc("score"), "id")))
+
+
+def evaluate_pairs(pairs: DataFrame, encoder: Encoder, tolerance: float = 0.3) -> DataFrame:
+    """Adds to (a, b, expected) the similarity, its gap from the expected one, and a mark where that exceeds the tolerance."""
+    rows = pairs.withColumn("similarity", dot(normalize(encoder(F.col("a"))), normalize(encoder(F.col("b")))))
+    return rows.withColumn("gap", F.col("similarity") - F.col("expected")).withColumn("bad", F.abs("gap") > tolerance)
+
+
+def drift(triples: DataFrame, encoder: Encoder, least: float = 0.2) -> DataFrame:
+    """Adds to (term, related, unrelated) both similarities and their gap; at most `least`, the term is drifting."""
+    v = {c: normalize(encoder(F.col(c))) for c in ("term", "related", "unrelated")}
+    rows = triples.withColumn("near", dot(v["term"], v["related"])).withColumn("far", dot(v["term"], v["unrelated"]))
+    return rows.withColumn("gap", F.col("near") - F.col("far")).withColumn("drifting", ~(F.col("gap") > least))
+
+
+def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], k: int, query: str = "query", text: str = "text", ident: str = "id") -> DataFrame:
+    """The k best of each query's hits by a scorer of (query, text), as a cross-encoder: adds rerank_score and final_rank.
+
+    The scorer sees only the hits, batch by batch (see functions.models.pair_scorer).
+    """
+    scored = hits.withColumn("rerank_score", scorer(F.col(query), F.col(text)))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.col(ident)))
+    return scored.withColumn("final_rank", place).where(F.col("final_rank") <= k)
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, encoder: Encoder = pseudo_embedding, ident: str = "id", text: str = "text") -> DataFrame:
+    """(query_id, id, text, score, rank): the k items of highest cosine for each query of a stated set; ties to the smaller id.
+
+    Every vector is scaled to unit length once, before the pairs are made.
+    """
+    q = queries.select("query_id", normalize(encoder(F.col("query"))).alias("_q"))
+    d = items.select(F.col(ident).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).withColumn("_d", normalize(encoder(F.col("text"))))
+    pairs = d.join(q, F.lit(True)).select("query_id", "id", "text", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
 def small_to_big(children: DataFrame, parents: DataFrame, score: Column, k: int = 3, ident: str = "chunk_id", parent: str = "parent_id") -> DataFrame:
@@ -102,12 +189,44 @@ def sentence_window(sents: DataFrame, hits: DataFrame, ident: str, width: int =
     return joined.groupBy(ident, "hit").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias("context"))
 
 
-def compress(sents: DataFrame, ident: str, score: str, n: int = 2, pos: str = "pos", text: str = "sentence") -> DataFrame:
-    """The n best sentences of each chunk in their own order; ties go to the earlier one."""
-    place = F.row_number().over(Window.partitionBy(ident).orderBy(F.desc(score), pos))
-    kept = sents.withColumn("_n", place).where(F.col("_n") <= n)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
-    return kept.groupBy(ident).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias("context"))
+def sentence_window_retrieve(queries: DataFrame, sents: DataFrame, ident: str, width: int = 2, k: int = 3, encoder: Encoder = pseudo_embedding, pos: str = "pos", text: str = "sentence") -> DataFrame:
+    """(query_id, rank, id, hit, score, sentence, context): the k sentences nearest to each query with `width` around them.
+
+    Windows of neighbouring hits may overlap; they are not merged.
+    """
+    items = sents.select(F.struct(F.col(ident).alias("doc"), F.col(pos).alias("pos")).alias("id"), F.col(text).alias("text"))
+    hits = nearest(queries, items, k, encoder).select("query_id", "rank", F.col("id.doc").alias(ident), F.col("id.pos").alias("hit"), "score", F.col("text").alias("sentence"))
+    around = sentence_window(sents, hits.select(ident, F.col("hit").alias(pos)).distinct(), ident, width, pos, text)
+    return hits.join(around, [ident, "hit"])
+
+
+def compress(queries: DataFrame, chunks: DataFrame, k: int = 3, n: int = 2, encoder: Encoder = pseudo_embedding, ident: str = "id", text: str = "text") -> DataFrame:
+    """(query_id, rank, id, score, text, context): the k chunks nearest to each query, each cut to its n sentences nearest to it.
+
+    The sentences keep their order; chunks of at most n sentences stay as they are; ties go to the earlier sentence.
+    """
+    hits = nearest(queries, chunks, k, encoder, ident, text)
+    parts = hits.select("query_id", "id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    asked = queries.select("query_id", normalize(encoder(F.col("query"))).alias("_q"))
+    scored = parts.join(asked, "query_id").withColumn("_s", dot(F.col("_q"), normalize(encoder(F.col("sentence")))))
+    per = Window.partitionBy("query_id", "id")
+    kept = scored.withColumn("_n", F.row_number().over(per.orderBy(F.desc("_s"), "pos"))).where(F.col("_n") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), F.col("sentence").alias("t"))))
+    short = kept.groupBy("query_id", "id").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias("_short"))
+    whole = F.size(T.sentences(F.col("text"))) <= n
+    return hits.join(short, ["query_id", "id"], "left").select("query_id", "rank", "id", "score", "text", F.when(whole, F.col("text")).otherwise(F.col("_short")).alias("context"))
+
+
+def compare_strategies(results: dict[str, DataFrame]) -> DataFrame:
+    """(strategy, query_id, indexed, returned, expansion): words of the best hit of each strategy and query, as indexed and as returned.
+
+    results has frames of (query_id, rank, indexed_text, context) by the strategy's name.
+    """
+    out = None
+    for name, rows in results.items():
+        best = rows.where("rank = 1").select(F.lit(name).alias("strategy"), "query_id", T.word_count(F.col("indexed_text")).alias("indexed"), T.word_count(F.col("context")).alias("returned"), expansion(F.col("context"), F.col("indexed_text")).alias("expansion"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def expansion(returned: Column, indexed: Column) -> Column:
@@ -118,14 +237,15 @@ def expansion(returned: Column, indexed: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, ident: str, text: str, query_id: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); documents without any query term have no row.
 
-    Only the query's terms are counted: the tokens are met with the distinct query terms before any shuffle, and
-    counts are combined in the tasks. Null and empty texts count as documents of length 0.
+    Documents are split once: a row keeps its length and those of its terms that a query has, whose set comes as one
+    row; the rest works on these. Null and empty texts count as documents of length 0.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.terms(F.col(query)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    tokens = docs.select(F.col(ident).alias("id"), F.coalesce(T.terms(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    size = docs.select(F.size(F.coalesce(T.terms(F.col(text)), F.array().cast("array<string>"))).alias("_l")).agg(F.count("*").alias("n"), F.avg("_l").alias("mean"))
-    tf = tokens.select("id", F.size("_w").alias("len"), F.explode("_w").alias("term")).join(wanted, "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    wanted = asked.agg(F.collect_set("term").alias("_wanted"))
+    words = docs.select(F.col(ident).alias("id"), F.coalesce(T.terms(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    held = cut(words.join(wanted, F.lit(True)).select("id", F.size("_w").alias("len"), F.filter("_w", lambda w: F.array_contains("_wanted", w)).alias("hits")))
+    size = held.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = held.where(F.size("hits") > 0).select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     rows = tf.join(df, "term").join(asked, "term").join(size, F.lit(True))  # one row on the right
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -165,4 +285,5 @@ def merge_first(lists: list[DataFrame], content: str = "content") -> DataFrame:
         part = one.select(F.lit(i).alias("list_no"), "rank", "score", content)
         union = part if union is None else union.unionByName(part)
     first = union.withColumn("_n", F.row_number().over(Window.partitionBy(content).orderBy("list_no", "rank"))).where("_n = 1").drop("_n")
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "list_no", "rank")))
+    placed = numbered(first.withColumnRenamed("rank", "_rank"), [-F.col("score"), F.col("list_no"), F.col("_rank")])
+    return placed.withColumnRenamed("rank", "place").withColumnRenamed("_rank", "rank").drop("before")

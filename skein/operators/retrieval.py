@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import cosine
+from skein.plans.layout import numbered
 
 COMPARISONS = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__}
 
@@ -68,30 +72,78 @@ def top_k(df: DataFrame, score: Column, ident: str, k: int = 3, threshold: float
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.col(ident))))
 
 
-def top_k_batch(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, ident: str, vector: str, k: int = 3, threshold: float | None = None, score=cosine) -> DataFrame:
-    """(query_id, rank, id, score) for every query: a stated set of queries against all items.
+#: Queries that a stated set may hold: their vectors are sent out once. The sharded index takes larger ones.
+MOST_QUERIES = 16_384
 
-    The set of queries is the small side of a nested loop; it is broadcast by Catalyst only within the size that
-    spark.sql.autoBroadcastJoinThreshold allows. Ranking keeps k rows of a query in each task before the shuffle.
+
+def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an array column that are vectors of the given length, and these as unit vectors; no length stays zero."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == dim)
+    flat = column.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(float("nan"))
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    sizes = np.linalg.norm(x, axis=1, keepdims=True)
+    return rows, x / np.where(sizes > 0, sizes, 1.0)
+
+
+def in_blocks(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, ident: str, vector: str, k: int | None = None, threshold: float | None = None) -> DataFrame:
+    """(query_id, id, score): cosines of a stated set of queries with all items, as products of normalised matrices.
+
+    With k, a block of items gives no more than k rows of a query, ties to the smaller id. Queries without a vector
+    take no part, nor items whose vectors are null or of another length. Scores are rounded to 12 digits, so that
+    equal vectors have equal scores wherever they lie. More than MOST_QUERIES queries raise.
     """
-    asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"))
-    pairs = items.select(F.col(ident).alias("id"), F.col(vector).alias("_v")).join(asked, F.lit(True)).select(F.col("_q").alias("query_id"), "id", score(F.col("_qv"), F.col("_v")).alias("score"))
-    pairs = pairs.where(F.col("score").isNotNull() & ~F.isnan("score"))
-    if threshold is not None:
-        pairs = pairs.where(F.col("score") >= F.lit(float(threshold)))
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).where(F.size("v") > 0).limit(MOST_QUERIES + 1).toArrow().combine_chunks()
+    if asked.num_rows > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: use an index")
+    rows = items.select(F.col(ident).alias("id"), F.col(vector).alias("v"))
+    kinds = queries.schema[query_id].dataType.simpleString(), items.schema[ident].dataType.simpleString()
+    if not asked.num_rows:
+        return items.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    vectors = asked.column("v").combine_chunks()
+    dim = int(vectors.value_lengths()[0].as_py())
+    kept, matrix = unit_rows(vectors, dim)
+    names = asked.column("q").combine_chunks().take(pa.array(kept))
+    shared = items.sparkSession.sparkContext.broadcast((matrix, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, names = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                at, x = unit_rows(part.column(1), dim)
+                sims = np.round(matrix @ x.T, 12)
+                take = sims >= (-np.inf if threshold is None else threshold)
+                if k is not None and sims.shape[1] > k:
+                    take &= sims >= np.partition(np.where(take, sims, -np.inf), sims.shape[1] - k, axis=1)[:, -k][:, None]
+                row, col = np.nonzero(take)
+                ids = part.column(0).take(pa.array(at))
+                if k is not None and len(row):
+                    place = np.empty(len(ids), np.int64)
+                    place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                    order = np.lexsort((place[col], -sims[row, col], row))
+                    row, col = row[order], col[order]
+                    head = np.searchsorted(row, row)
+                    few = np.arange(len(row)) - head < k
+                    row, col = row[few], col[few]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(col)), pa.array(sims[row, col])], ["query_id", "id", "score"])
+
+    return rows.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def top_k_batch(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, ident: str, vector: str, k: int = 3, threshold: float | None = None) -> DataFrame:
+    """(query_id, rank, id, score) for every query: a stated set of queries against all items (see in_blocks)."""
+    few = in_blocks(queries, items, query_id, query_vector, ident, vector, k, threshold)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return few.where(~F.isnan("score")).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def score_distribution(df: DataFrame, score: Column, ident: str, gap: float = 0.08) -> DataFrame:
-    """Every row's rank, score and gap to the score before, with a mark where the gap exceeds `gap` (never first).
-
-    A total order over all rows of one query: for reports over one result list, not for a corpus.
-    """
-    order = Window.orderBy(F.desc("score"), F.col(ident))
-    scored = df.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score"))
-    before = F.lag("score").over(order)
-    return scored.select(F.col(ident), "score", F.row_number().over(order).alias("rank"), (before - F.col("score")).alias("gap"), F.coalesce(before - F.col("score") > gap, F.lit(False)).alias("marked"))
+    """Every row's rank, score and gap to the score before, with a mark where the gap exceeds `gap` (never first)."""
+    scored = df.select(F.col(ident), score.alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    ranked = numbered(scored, [-F.col("score"), F.col(ident)])
+    before = -F.col("before.k0") - F.col("score")
+    return ranked.select(F.col(ident), "score", "rank", before.alias("gap"), F.coalesce(before > gap, F.lit(False)).alias("marked"))
 
 
 def score_summary(df: DataFrame, score: Column, threshold: float) -> DataFrame:

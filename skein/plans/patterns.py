@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from skein.functions import routing as K
 from skein.functions import text as T
-from skein.functions.vectors import cosine_eps, multimodal_embedding, pseudo_embedding
-from skein.operators.graph import describe, traverse
+from skein.functions.vectors import dot, multimodal_embedding, normalize, pseudo_embedding
+from skein.operators.graph import describe, traverse_all
 
 Encoder = Callable[[Column], Column]
+Tool = Callable[[DataFrame], DataFrame]
 
 
 def constant_answer(prompt: Column) -> Column:
@@ -26,10 +27,14 @@ def constant_answer(prompt: Column) -> Column:
 
 
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 3, encoder: Encoder = pseudo_embedding, query: str = "query", source: str = "vector") -> DataFrame:
-    """(query_id, rank, score, text, source): the k best documents of every query; ties go to the greater text."""
-    q = queries.select("query_id", encoder(F.col(query)).alias("_q"))
-    d = docs.select("text", encoder(F.col("text")).alias("_d")).where(F.col("text").isNotNull())
-    pairs = d.join(q, F.lit(True)).select("query_id", "text", cosine_eps(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
+    """(query_id, rank, score, text, source): the k best documents of every query; ties go to the greater text.
+
+    The queries are a stated set, met with all documents; every vector is scaled to unit length once, before that, and
+    each task keeps k documents of a query. For queries as many as documents there are sharded indexes.
+    """
+    q = queries.select("query_id", normalize(encoder(F.col(query))).alias("_q"))
+    d = docs.select("text").where(F.col("text").isNotNull()).withColumn("_d", normalize(encoder(F.col("text"))))
+    pairs = d.join(q, F.lit(True)).select("query_id", "text", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("text")))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k).withColumn("source", F.lit(source))
 
@@ -107,7 +112,7 @@ def adaptive(queries: DataFrame, docs: DataFrame, encoder: Encoder = pseudo_embe
 def structured_hits(queries: DataFrame, facts: DataFrame, k: int = 2) -> DataFrame:
     """Facts (key_pos, key, value) whose key, or a part of it between underscores, occurs in the query: score 1; else the first k at 0.5."""
     pairs = queries.select("query_id", "query").join(facts, F.lit(True))
-    hit = F.contains(F.lower("query"), F.col("key")) | T.has_any_word_of(F.col("query"), F.col("key"))
+    hit = F.contains(F.lower("query"), F.col("key")) | T.has_any_word_of(F.col("query"), F.col("key"), "_")
     pairs = pairs.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     w = Window.partitionBy("query_id")
     kept = pairs.withColumn("_any", F.max("_hit").over(w)).where("_hit or not _any")
@@ -127,68 +132,85 @@ def branched(queries: DataFrame, docs: DataFrame, facts: DataFrame, web: DataFra
     hits = hits.unionByName(retrieve(to("web"), web, k, encoder, source="web").withColumn("route_no", F.lit(1)).select(*names, "route_no"))
     hits = hits.unionByName(retrieve(to("vector"), docs, k, encoder).withColumn("route_no", F.lit(2)).select(*names, "route_no"))
     first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "text").orderBy("route_no", "rank"))).where("_n = 1")
+    # a fixed value: the form of a line
     line = F.format_string("[%s | score=%.3f]\n  %s", F.upper("source"), F.col("score"), F.col("text"))
     return prompted(rows, context(first, line, [-F.col("score"), F.col("route_no"), F.col("rank")], "\n\n"), "Say which source each statement comes from.", generate)
 
 
-def corrective_context(hits: DataFrame, web: DataFrame, queries: DataFrame, encoder: Encoder = pseudo_embedding) -> DataFrame:
+def decided(labelled: DataFrame) -> DataFrame:
+    """(query_id, n_correct, n_ambiguous, n_wrong, action) of labelled hits."""
+    counts = labelled.groupBy("query_id").agg(*[F.count_if(F.col("label") == name).alias(f"n_{name}") for name in ("correct", "ambiguous", "wrong")])
+    return counts.withColumn("action", K.action(F.col("n_correct"), F.col("n_ambiguous")))
+
+
+def as_it_is(text: Column, query: Column) -> Column:
+    """The refiner that changes nothing; another one is a function of text and query too."""
+    return text
+
+
+def corrective_context(hits: DataFrame, web: DataFrame, queries: DataFrame, encoder: Encoder = pseudo_embedding, refine: Callable[[Column, Column], Column] = as_it_is) -> DataFrame:
     """(query_id, action, context) of scored hits (query_id, rank, score, text).
 
-    With correct hits these are used, and one web result is added if others are ambiguous; with only ambiguous
+    With correct hits these are used, refined, and one web result is added if others are ambiguous; with only ambiguous
     ones these and two web results; else three web results for the rewritten query.
     """
     labelled = hits.withColumn("label", K.relevance(F.col("score")))
-    counts = labelled.groupBy("query_id").agg(F.count_if(F.col("label") == "correct").alias("n_correct"), F.count_if(F.col("label") == "ambiguous").alias("n_ambiguous"))
-    state = queries.join(counts, "query_id", "left").na.fill(0, ["n_correct", "n_ambiguous"])
-    state = state.withColumn("action", F.when(F.col("n_correct") > 0, "correct").when(F.col("n_ambiguous") > 0, "ambiguous").otherwise("wrong"))
+    state = queries.join(decided(labelled), "query_id", "left").na.fill(0, ["n_correct", "n_ambiguous"]).na.fill("wrong", ["action"])
     state = state.withColumn("web_k", F.when((F.col("action") == "correct") & (F.col("n_ambiguous") > 0), 1).when(F.col("action") == "ambiguous", 2).when(F.col("action") == "wrong", 3).otherwise(0))
     asked = state.where("web_k > 0").withColumn("web_query", F.when(F.col("action") == "wrong", K.rewritten(F.col("query"))).otherwise(F.col("query")))
     found = retrieve(asked, web, 3, encoder, "web_query").join(state.select("query_id", "web_k"), "query_id").where("rank <= web_k")
-    kept = labelled.join(state.select("query_id", "action"), "query_id").where("label = action and action <> 'wrong'")
-    lines = kept.select("query_id", F.lit(0).alias("part"), "rank", F.format_string("[VECTOR | %.2f] %s", F.col("score"), F.col("text")).alias("text"))
+    kept = labelled.join(state.select("query_id", "action", "query"), "query_id").where("label = action and action <> 'wrong'")
+    # fixed values: the forms of the lines
+    lines = kept.select("query_id", F.lit(0).alias("part"), "rank", F.format_string("[VECTOR | %.2f] %s", F.col("score"), refine(F.col("text"), F.col("query"))).alias("text"))
     lines = lines.unionByName(found.select("query_id", F.lit(1).alias("part"), "rank", F.concat(F.lit("[WEB] "), F.col("text")).alias("text")))
     return state.select("query_id", "action").join(context(lines, F.col("text"), [F.col("part"), F.col("rank")]), "query_id", "left")
 
 
-def corrective(queries: DataFrame, docs: DataFrame, web: DataFrame, k: int = 3, encoder: Encoder = pseudo_embedding, generate=constant_answer) -> DataFrame:
-    return prompted(queries, corrective_context(retrieve(queries, docs, k, encoder), web, queries, encoder), ONLY_CONTEXT, generate)
+def corrective(queries: DataFrame, docs: DataFrame, web: DataFrame, k: int = 3, encoder: Encoder = pseudo_embedding, generate=constant_answer, refine: Callable[[Column, Column], Column] = as_it_is) -> DataFrame:
+    return prompted(queries, corrective_context(retrieve(queries, docs, k, encoder), web, queries, encoder, refine), ONLY_CONTEXT, generate)
 
 
 def candidates(hits: DataFrame) -> DataFrame:
     """Hits (query_id, query, rank, score, text) with a passage and its labels for relevance, support and use."""
-    words = T.word_list(F.col("text"))
-    passage = F.concat(F.lit("Based on evidence: '"), F.substring("text", 1, 60), F.lit("...' — the answer to '"), F.col("query"), F.lit("' relates to "), F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" and "), F.coalesce(F.element_at(words, -1), F.lit("")), F.lit("."))
-    rows = hits.withColumn("passage", F.when(F.size(words) > 0, passage).otherwise("")).withColumn("isrel", K.is_relevant(F.col("score")))
+    rows = hits.withColumn("_w", T.word_list(F.col("text")))
+    # a fixed value: the form of a passage
+    passage = F.concat(F.lit("Based on evidence: '"), F.substring("text", 1, 60), F.lit("...' — the answer to '"), F.col("query"), F.lit("' relates to "), F.get("_w", F.lit(0)), F.lit(" and "), F.element_at("_w", -1), F.lit("."))
+    rows = rows.withColumn("passage", F.when(F.size("_w") > 0, passage).otherwise("")).drop("_w").withColumn("isrel", K.is_relevant(F.col("score")))
     rows = rows.withColumn("issup", K.support(F.col("passage"), F.col("text"))).withColumn("isuse", K.usefulness(F.col("passage")))
     return rows.withColumn("composite", K.composite(F.col("isrel"), F.col("issup"), F.col("isuse")))
 
 
 def self_reflective(queries: DataFrame, docs: DataFrame, k: int = 3, encoder: Encoder = pseudo_embedding) -> DataFrame:
     """The passage of highest composite score of each query, the first on ties. A second pass would repeat the first."""
-    hits = retrieve(queries, docs, k, encoder).join(queries.select("query_id", "query"), "query_id")
+    asked = queries.withColumn("retrieve", K.retrieves(F.col("query"))).where("retrieve = 'yes'")
+    hits = retrieve(asked, docs, k, encoder).join(asked.select("query_id", "query"), "query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("composite"), "rank"))
     best = candidates(hits).withColumn("_n", place).where("_n = 1")
     return best.select("query_id", "query", "text", "passage", "isrel", "issup", "isuse", "composite", ((F.col("issup") == "fully") & (F.col("isuse") == "high")).alias("final"))
 
 
-def graph_answers(query_id: int, query: str, vertices: DataFrame, edges: DataFrame, entry: int = 2, max_depth: int = 2, max_nodes: int = 10, encoder: Encoder = pseudo_embedding, generate=constant_answer) -> DataFrame:
-    """One query: its nearest entities by name and description, the graph around them, and the prompt."""
-    asked = vertices.sparkSession.createDataFrame([(query_id, query)], "query_id long, query string")
+def graph_answers(queries: DataFrame, vertices: DataFrame, edges: DataFrame, entry: int = 2, max_depth: int = 2, max_nodes: int = 10, encoder: Encoder = pseudo_embedding, generate=constant_answer) -> DataFrame:
+    """For each query its nearest entities by name and description, the graph around them, and the prompt."""
+    from skein.operators.ranking import nearest
+
     named = vertices.select("id", F.concat_ws(" ", "name", "description").alias("text"))
-    close = named.join(asked.select(encoder(F.col("query")).alias("_q")), F.lit(True)).select("id", cosine_eps(F.col("_q"), encoder(F.col("text"))).alias("score"))
-    starts = close.orderBy(F.desc("score"), "id").limit(entry).select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("start_pos"), "id")
-    visits = describe(traverse(edges, starts, max_depth, max_nodes), vertices, edges).withColumn("query_id", F.lit(query_id).cast("long"))
+    starts = nearest(queries.select("query_id", "query"), named, entry, encoder).select("query_id", F.col("rank").alias("start_pos"), "id")
+    visits = describe(traverse_all(edges, starts, max_depth, max_nodes), vertices, edges)
     line = F.when(F.col("depth") == 0, F.concat(F.col("name"), F.lit(": "), F.col("description"))).otherwise(F.concat_ws(" ", F.col("parent_name"), F.col("relation_type"), F.col("name")))
-    return prompted(asked, context(visits, line, [F.col("visit")]), "Answer from these facts of a graph.", generate)
+    return prompted(queries, context(visits, line, [F.col("visit")]), "Answer from these facts of a graph.", generate)
 
 
 def multimodal(queries: DataFrame, docs: DataFrame, k: int = 3, only: str | None = None, generate=constant_answer) -> DataFrame:
-    """queries (query_id, query, modality), docs (doc_id, content, modality, url): search across modalities."""
-    q = queries.select("query_id", multimodal_embedding(F.col("query"), F.col("modality")).alias("_q"))
-    d = docs.where(F.col("modality") == only) if only else docs
-    pairs = d.withColumn("_d", multimodal_embedding(F.col("content"), F.col("modality"))).join(q, F.lit(True)).withColumn("score", cosine_eps(F.col("_q"), F.col("_d"))).where("score is not null")
+    """queries (query_id, query, modality), docs (doc_id, content, modality, metadata): search across modalities, or in one.
+
+    metadata is a map of strings; an image's url is taken from it.
+    """
+    q = queries.select("query_id", normalize(multimodal_embedding(F.col("query"), F.col("modality"))).alias("_q"))
+    d = (docs.where(F.col("modality") == only) if only else docs).withColumn("_d", normalize(multimodal_embedding(F.col("content"), F.col("modality"))))
+    pairs = d.join(q, F.lit(True)).withColumn("score", dot(F.col("_q"), F.col("_d"))).where("score is not null")
     hits = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    image = F.format_string("[IMAGE | %.3f] (URL: %s)\nVisual content: %s", F.col("score"), F.coalesce("url", F.lit("N/A")), F.col("content"))
+    # fixed values: the forms of the lines
+    image = F.format_string("[IMAGE | %.3f] (URL: %s)\nVisual content: %s", F.col("score"), F.coalesce(F.col("metadata")["url"], F.lit("N/A")), F.col("content"))
     line = F.when(F.col("modality") == "image", image).otherwise(F.format_string("[%s | %.3f]\n%s", F.upper("modality"), F.col("score"), F.col("content")))
     return prompted(queries, context(hits, line, [F.col("rank")], "\n\n"), "Answer from text, images and tables.", generate)
 
@@ -210,38 +232,74 @@ def planned(task: Column, step: int) -> tuple[Column, Column]:
     return tool, given
 
 
-def web_lookup(queries: DataFrame, facts: DataFrame, query: str = "input", missing: str = "No relevant web results found.") -> DataFrame:
+def web_lookup(queries: DataFrame, facts: DataFrame, query: str = "input") -> DataFrame:
     """(query_id, observation): the first fact (key_pos, key, value) with a word in the query, else a fixed message."""
     hit = queries.select("query_id", F.col(query).alias("_q")).join(facts, T.has_any_word_of(F.col("_q"), F.col("key"))).groupBy("query_id").agg(F.min(F.struct("key_pos", "value")).alias("_v"))
-    return queries.select("query_id").join(hit, "query_id", "left").select("query_id", F.coalesce("_v.value", F.lit(missing)).alias("observation"))
+    found = F.concat(F.lit("Web search result: "), F.col("_v.value"))
+    return queries.select("query_id").join(hit, "query_id", "left").select("query_id", F.coalesce(found, F.lit("Web search: No highly relevant results found.")).alias("observation"))
 
 
-def agent(tasks: DataFrame, docs: DataFrame, facts: DataFrame, steps: int = 5, encoder: Encoder = pseudo_embedding) -> DataFrame:
-    """(query_id, query, trace, answer): tool calls of every task until it finishes; no plan has more than three calls."""
+def standard_tools(docs: DataFrame, facts: DataFrame, encoder: Encoder = pseudo_embedding) -> dict[str, Tool]:
+    """The tools by name: each takes calls (query_id, input) and gives (query_id, observation). Their messages are fixed values."""
+
+    def look_up(calls: DataFrame) -> DataFrame:
+        found = context(retrieve(calls, docs, 2, encoder, "input"), F.concat(F.lit("  - "), F.col("text")), [F.col("rank")])
+        rows = calls.select("query_id").join(found, "query_id", "left")
+        return rows.select("query_id", F.concat(F.lit("Internal knowledge base results:\n"), F.coalesce("context", F.lit(""))).alias("observation"))
+
+    return {
+        "retrieve": look_up,
+        "web_search": lambda calls: web_lookup(calls, facts),
+        "calculate": lambda calls: calls.select("query_id", K.calculated("input").alias("observation")),
+        "summarize": lambda calls: calls.select("query_id", T.summary(F.col("input")).alias("observation")),
+    }
+
+
+def call_tools(calls: DataFrame, tools: dict[str, Tool]) -> DataFrame:
+    """(query_id, observation) of calls (query_id, tool, input), each by its tool; unknown tools give a message."""
+    seen = calls.where(~F.col("tool").isin(list(tools)) if tools else F.lit(True)).select("query_id", F.concat(F.lit("Unknown tool: "), F.col("tool")).alias("observation"))
+    for name, tool in tools.items():
+        seen = seen.unionByName(tool(calls.where(F.col("tool") == name).select("query_id", "input")))
+    return seen
+
+
+def agent(tasks: DataFrame, tools: dict[str, Tool], steps: int = 5, plan=planned) -> DataFrame:
+    """(query_id, query, trace, calls, answer): tool calls of every task until its plan finishes.
+
+    No standard plan has more than three calls, so that a fourth step is never begun.
+    """
     trace = None
     live = tasks.select("query_id", "query")
-    compute = F.udf(K.calculate, "string")  # a handful of rows: one call per task that calculates
-    for step in range(min(steps, 4)):
-        tool, given = planned(F.col("query"), step)
+    for step in range(min(steps, 4) if plan is planned else steps):
+        tool, given = plan(F.col("query"), step)
         live = live.withColumn("tool", tool).withColumn("input", given).where("tool <> 'FINISH'")
-        hits = retrieve(live.where("tool = 'retrieve'"), docs, 2, encoder, "input")
-        seen = bullets(hits).withColumnRenamed("context", "observation")
-        seen = seen.unionByName(web_lookup(live.where("tool = 'web_search'"), facts))
-        seen = seen.unionByName(live.where("tool = 'calculate'").select("query_id", compute("input").alias("observation")))
-        seen = seen.unionByName(live.where("tool not in ('retrieve', 'web_search', 'calculate')").select("query_id", F.concat(F.lit("Unknown tool: "), F.col("tool")).alias("observation")))
-        row = live.join(seen, "query_id", "left").select("query_id", F.lit(step + 1).alias("step"), "tool", "input", "observation")
+        row = live.join(call_tools(live, tools), "query_id", "left").select("query_id", F.lit(step + 1).alias("step"), "tool", "input", "observation")
         trace = row if trace is None else trace.unionByName(row)
         live = live.select("query_id", "query")
-    line = F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": "), F.col("tool"), F.lit("("), F.col("input"), F.lit(") -> "), F.coalesce("observation", F.lit("")))
-    told = context(trace, line, [F.col("step")])
-    count = trace.groupBy("query_id").agg(F.count("*").alias("calls"))
-    rows = tasks.join(told, "query_id", "left").join(count, "query_id", "left")
-    return rows.select("query_id", "query", F.coalesce("context", F.lit("")).alias("trace"), F.concat(F.lit("Based on "), F.coalesce("calls", F.lit(0)).cast("string"), F.lit(" tool calls.")).alias("answer"))
+    # fixed values: the forms of a step and of the answer
+    line = F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(":\n  Action     : "), F.col("tool"), F.lit("("), F.col("input"), F.lit(")\n  Observation: "), F.coalesce("observation", F.lit("")))
+    told = trace.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))), lambda r: r["line"]), "\n").alias("trace"), F.count("*").alias("calls"))
+    rows = tasks.join(told, "query_id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+    answer = F.concat(F.lit("[Simulated Final Answer]\nTask: "), F.col("query"), F.lit("\nBased on "), F.col("calls").cast("string"), F.lit(" tool calls, the agent has gathered all required information and synthesized a comprehensive response."))
+    return rows.select("query_id", "query", F.coalesce("trace", F.lit("")).alias("trace"), "calls", answer.alias("answer"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, dense: DataFrame, sparse: DataFrame, k: int = 10, floor: float = 0.0) -> DataFrame:
-    """Dense and sparse scores (query_id, id, score) fused by reciprocal ranks, above a floor, k of each query with their texts."""
-    from skein.operators.ranking import ranked, rrf
+def hybrid(docs: DataFrame, queries: DataFrame, filters: dict | None = None, k: int = 3, depth: int = 50, floor: float = 0.0, diverse: int = 10, balance: float = 0.7, encoder: Encoder = pseudo_embedding, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(query_id, query, rank, id, fused, mmr_rank, score, text): the whole pipeline, for a stated set of queries.
 
-    fused = ranked(rrf([ranked(dense, 50), ranked(sparse, 50)]), k).where(F.col("score") >= floor)
-    return fused.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "rank", "id", "score", "text")
+    Metadata filter; BM25 and dense retrieval, `depth` of each; reciprocal rank fusion; a floor for the fused score;
+    MMR down to `diverse`; re-ranking by the scorer down to k (by MMR's order where there is none).
+    """
+    from skein.operators.ranking import bm25, mmr_batch, nearest, ranked, rerank, rrf
+    from skein.operators.retrieval import metadata_filter
+
+    scoped = metadata_filter(docs, filters or {})
+    dense = nearest(queries, scoped, depth, encoder, "doc_id").select("query_id", "id", "rank")
+    sparse = ranked(bm25(scoped, queries, "doc_id", "text", "query_id", "query").withColumn("score", F.round("score", 9)), depth)
+    fused = rrf([dense, sparse]).where(F.col("score") >= floor)
+    texts = scoped.select(F.col("doc_id").alias("id"), "text")
+    held = fused.join(texts, "id").withColumn("vector", encoder(F.col("text")))
+    picked = mmr_batch(held, diverse, balance).select("query_id", "id", F.col("score").alias("fused"), F.col("rank").alias("mmr_rank"))
+    hits = picked.join(texts, "id").join(queries.select("query_id", "query"), "query_id")
+    best = rerank(hits, scorer or (lambda q, t: -F.col("mmr_rank").cast("double")), k)
+    return best.select("query_id", "query", F.col("final_rank").alias("rank"), "id", "fused", "mmr_rank", F.col("rerank_score").alias("score"), "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions import estimates, routing
+from skein.functions import estimates, models, routing
 from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators import chunking as C
@@ -16,7 +16,7 @@ from skein.operators import ranking as K
 from skein.operators import retrieval as R
 from skein.operators import semantic as S
 from skein.plans import patterns as P
-from skein.plans.layout import table
+from skein.plans.layout import numbered, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,27 @@ def r6(name: str):
 E = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 Q0 = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0)"
 
+NL = "chr(10)"
+
+
+def emb(text: str, dim: int = 64, salt: str = "") -> str:
+    """The pseudo-embedding of functions.vectors in SQL."""
+    def part(k):
+        return f"(CAST('0x' || substr(h, {k}, 12) AS UBIGINT) + 0.5) / 281474976710656.0"
+
+    return f"list_transform(list_transform(range(0, {dim}), lambda i: md5(md5({text}) || '|{salt}|' || i)), lambda h: CAST(CAST(sqrt(-2 * ln({part(1)})) * cos(2 * pi() * {part(13)}) AS FLOAT) AS DOUBLE))"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    return f"list_cosine_similarity({a}, {b})"
+
+
+def near_sql(name: str, rows: str, items: str, k: int) -> str:
+    """A CTE of the k items (id, text) nearest to each row (query_id, query), as ranking.nearest."""
+    pairs = f"SELECT q.query_id, d.id, d.text, {cosine_sql('q.v', 'd.v')} AS score FROM (SELECT query_id, {emb('query')} AS v FROM {rows}) q, (SELECT id, text, {emb('text')} AS v FROM {items} WHERE text IS NOT NULL) d"
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= {k})"
+
+
 # ---- filters and top-k
 
 
@@ -110,8 +131,8 @@ def filter_or_contains(spark, d):
 @query(f"""SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM ({E} WHERE vec_id % 50 = 0) a, ({E}) b WHERE a.vec_id <> b.vec_id""")
 def similarity_matrix(spark, d):
     e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id_a"), F.col("embedding").alias("_a"))
-    return e.join(a, F.col("vec_id") != F.col("id_a")).select("id_a", F.col("vec_id").alias("id_b"), F.round(V.cosine(F.col("_a"), F.col("embedding")), 6).alias("sim"))
+    pairs = R.in_blocks(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "vec_id", "embedding")
+    return pairs.where("query_id <> id").select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"), F.round("score", 6).alias("sim"))
 
 
 @query(f"""WITH {Q0} SELECT vec_id, round(list_inner_product(v, qv), 6) AS dot, round(list_distance(v, qv), 5) AS l2, round(1 / (1 + list_distance(v, qv)), 6) AS l2_similarity,
@@ -137,9 +158,9 @@ def normalised(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(u), 6).alias("unit"), F.round(V.cosine_eps(V.normalize_eps(F.col("embedding")), u), 6).alias("self_cosine"))
 
 
-@query()
+@query(f"SELECT id, list_transform({emb('text')}, lambda x: round(x, 4)) AS embedding FROM chunks WHERE text IS NOT NULL")
 def pseudo_embeddings(spark, d):
-    return table(spark, d, "chunks").where("text is not null").select("id", V.pseudo_embedding(F.col("text")).alias("embedding"))
+    return table(spark, d, "chunks").where("text is not null").select("id", F.transform(V.pseudo_embedding(F.col("text")), lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
 @query("""SELECT source, count(*) AS documents, round(count(*) * 400.0 / 1e6 * 0.02, 6) AS cost, round(count(*) * 384 * 4 / 1048576.0, 6) AS mib, round(count(*) * CAST(7.432 AS DOUBLE), 6) AS ms FROM documents GROUP BY source""")
@@ -171,6 +192,11 @@ def chunk_stats(spark, d):
     return C.chunk_stats(fixed_chunks(spark, d), "doc_id")
 
 
+@query(f"""SELECT doc_id, round(avg(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> ''))), 6) AS mean_words FROM ({FIXED.format(step=250, size=300)}) GROUP BY doc_id""")
+def chunk_words(spark, d):
+    return C.mean_words(fixed_chunks(spark, d), "doc_id")
+
+
 @query("""SELECT doc_id, CAST(stride AS INTEGER) AS stride, CAST(ceil(length(text) / CAST(stride AS DOUBLE)) AS BIGINT) AS chunks FROM documents, (VALUES (30), (60), (150), (210), (270), (300)) v(stride) WHERE text IS NOT NULL""")
 def stride_sweep(spark, d):
     return C.stride_sweep(table(spark, d, "documents"), "doc_id", "text", (30, 60, 150, 210, 270, 300))
@@ -207,9 +233,9 @@ def token_chunks(spark, d):
     return C.token_chunks(table(spark, d, "documents"), "doc_id", "text", 50, 10).withColumn("first_word", F.col("first_word").cast("int"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '...' ELSE text END AS summary FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)""")
+@query(f"""SELECT doc_id, 'Summary: ' || CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '... [truncated]' ELSE text END AS summary FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)""")
 def summarize(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.first_words(F.col("text")).alias("summary"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.summary(F.col("text")).alias("summary"))
 
 
 @query(f"""SELECT doc_id, CAST(i AS INTEGER) AS pos, p[i + 1] AS paragraph FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda s: {trim('s')}), lambda s: s <> '') AS p FROM documents WHERE text IS NOT NULL))""")
@@ -342,13 +368,16 @@ def maxsim_breakdown(spark, d):
     return K.best_tokens(q, rows, "query_id", "doc_id", "embedding").withColumn("best", F.round("best", 6))
 
 
-@query(f"""WITH {Q0}, s AS (SELECT vec_id, list_cosine_similarity(v, qv) AS f, list_distance(v, qv) AS g, v[1] AS h FROM ({E}), q), t AS (SELECT *, row_number() OVER (ORDER BY f DESC, vec_id) AS first_rank FROM s)
-SELECT CAST(row_number() OVER (ORDER BY h DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(first_rank AS INTEGER) AS first_rank, round(h, 6) AS score FROM t WHERE first_rank <= 10 ORDER BY t.h DESC, vec_id LIMIT 3""")
+@query(f"""WITH q AS (SELECT 'the order of the index and of the vectors' AS query), c AS (SELECT CAST(id AS BIGINT) AS id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id), s AS (SELECT id, text, query, {cosine_sql(emb('query'), emb('text'))} AS f FROM c, q),
+t AS (SELECT *, row_number() OVER (ORDER BY f DESC, id) AS first_rank FROM s), u AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query), '{WS}+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> '')) AS b FROM t WHERE first_rank <= 10),
+w AS (SELECT *, len(list_intersect(a, b)) / (len(a) + 1e-9) AS g FROM u)
+SELECT CAST(row_number() OVER (ORDER BY g DESC, text DESC) AS INTEGER) AS rank, id, CAST(first_rank AS INTEGER) AS first_rank, round(g, 6) AS score FROM w ORDER BY w.g DESC, text DESC LIMIT 3""")
 def two_stage(spark, d):
-    # the second score stands for a cross-encoder: any column that only the few are scored by
-    v = F.col("embedding")
-    out = K.two_stage(table(spark, d, "embeddings"), V.cosine(v, R.literal_vector(vector_of(spark, d))), F.get(v, F.lit(0)).cast("double"), "vec_id")
-    return out.select("rank", "vec_id", "first_rank", r6("score"))
+    # the share of the query's words stands for a cross-encoder: a Python scorer of pairs, which sees the first ten only
+    rows = table(spark, d, "chunks").where("text is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.max("text").alias("text")).withColumn("query", F.lit("the order of the index and of the vectors"))
+    first = V.cosine(V.pseudo_embedding(F.col("query")), V.pseudo_embedding(F.col("text")))
+    out = K.two_stage(rows, first, models.pair_scorer(models.shared_words)(F.col("query"), F.col("text")), "id", tie="text")
+    return out.select("rank", "id", "first_rank", r6("score"))
 
 
 @query(f"""WITH {Q0}, s AS (SELECT vec_id, list_cosine_similarity(v, qv) AS f, v[1] AS g FROM ({E}), q), r AS (SELECT vec_id, row_number() OVER (ORDER BY f DESC, vec_id) AS rank_a, row_number() OVER (ORDER BY g DESC, vec_id) AS rank_b FROM s)
@@ -364,7 +393,10 @@ def rank_models(spark, d):
     return K.rank_by(rows, "strategy", "similarity", "result_id").select("strategy", "result_id", "rank")
 
 
-@query()
+@query(f"""WITH p AS ({PARENTS}), k AS (SELECT doc_id || '/' || parent_id AS parent_id, doc_id || '/' || parent_id || '_c' || j AS child_id, c[j + 1] AS text FROM (SELECT doc_id, parent_id, c, unnest(range(0, len(c))) AS j FROM
+(SELECT doc_id, parent_id, list_filter(list_transform(range(0, CAST(ceil(length(text) / 128.0) AS BIGINT)), lambda k: {trim('substring(text, CAST(k * 128 + 1 AS BIGINT), 128)')}), lambda s: s <> '') AS c FROM p))),
+s AS (SELECT *, {cosine_sql(emb("'how does the index stay small'"), emb('text'))} AS score FROM k), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM s), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY rank) AS n FROM r WHERE rank <= 5) WHERE n = 1)
+SELECT b.parent_id, child_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, p.text AS context FROM b JOIN p ON p.doc_id || '/' || p.parent_id = b.parent_id""")
 def small_to_big(spark, d):
     parents, children = C.parent_child(table(spark, d, "documents"), "doc_id", "text")
     name = F.concat_ws("/", "doc_id", "parent_id")
@@ -372,23 +404,6 @@ def small_to_big(spark, d):
     return K.small_to_big(children.withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_id")).withColumn("parent_id", name), parents.withColumn("parent_id", name), V.cosine_eps(V.pseudo_embedding(F.col("text")), query_vector), 5).select("parent_id", "child_id", "rank", r6("score"), "context")
 
 
-@query(f"""WITH p AS (SELECT doc_id, i AS pos, s[i + 1] AS sentence FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, list_filter(s, lambda x: length(x) > 10) AS s FROM ({SENTS})))),
-h AS (SELECT * FROM p WHERE contains(lower(sentence), 'vector'))
-SELECT h.doc_id, CAST(h.pos AS INTEGER) AS hit, string_agg(p.sentence, ' ' ORDER BY p.pos) AS context FROM h JOIN p ON h.doc_id = p.doc_id AND p.pos BETWEEN h.pos - 2 AND h.pos + 2 GROUP BY h.doc_id, h.pos""")
-def sentence_window_retrieve(spark, d):
-    sents = C.sentence_index(table(spark, d, "documents"), "doc_id", "text")
-    return K.sentence_window(sents, sents.where(F.contains(F.lower("sentence"), F.lit("vector"))), "doc_id", 2)
-
-
-@query(f"""WITH p AS (SELECT doc_id, i AS pos, s[i + 1] AS sentence FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, list_filter(s, lambda x: length(x) > 10) AS s FROM ({SENTS})))),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(sentence) DESC, pos) AS n FROM p)
-SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS context FROM r WHERE n <= 2 GROUP BY doc_id""")
-def contextual_compression(spark, d):
-    # the longest sentences stand for the most relevant ones
-    sents = C.sentence_index(table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.length("sentence"))
-    return K.compress(sents, "doc_id", "score", 2)
-
-
 @query(f"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, round(len(w) / CAST(len(list_filter(regexp_split_to_array(substring(text, 1, 128), '{WS}+'), lambda x: x <> '')) AS DOUBLE), 6) AS expansion FROM w WHERE len(list_filter(regexp_split_to_array(substring(text, 1, 128), '{WS}+'), lambda x: x <> '')) > 0""")
 def expansion_factor(spark, d):
@@ -398,59 +413,69 @@ def expansion_factor(spark, d):
 
 # ---- sparse retrieval and fusion
 
-ASKED = "(VALUES (1, 'sparse vector index'), (2, 'how does the token budget drift'), (3, 'kovarianzstruktur sch tzung')) a(query_id, query)"
-BM = f"""t AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM (SELECT doc_id AS id, text FROM documents)), z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
-a AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {ASKED}), f AS (SELECT id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM a) GROUP BY id, term),
-df AS (SELECT term, count(*) AS df FROM f GROUP BY term), bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM f JOIN df USING (term) JOIN a USING (term), z GROUP BY query_id, id)"""
+ASKED = [(1, "sparse vector index"), (2, "how does the token budget drift"), (3, "Kovarianzschätzung der Vektoren"), (4, "нейронная сеть индекс"), (5, "向量索引 检索"), (6, "فهرس المتجهات"), (7, "ดัชนีเวกเตอร์")]
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]"
+
+
+def terms_sql(text: str) -> str:
+    """functions.text.terms in SQL."""
+    runs = f"regexp_extract_all(regexp_replace(lower({text}), '({UNSPACED}+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+    return f"flatten(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^{UNSPACED}') THEN list_transform(range(1, greatest(2, length(r))), lambda i: substring(r, i, 2)) ELSE [r] END))"
 
 
 def asked(spark):
-    return spark.createDataFrame([(1, "sparse vector index"), (2, "how does the token budget drift"), (3, "kovarianzstruktur sch tzung")], "query_id int, query string")
+    """The queries of sparse and hybrid retrieval, in several scripts; without a session, their SQL."""
+    if spark is None:
+        return "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") asked(query_id, query)"
+    return spark.createDataFrame(ASKED, "query_id int, query string")
+
+
+def bm_sql(docs: str = "documents") -> str:
+    """CTEs of BM25 scores (query_id, id, score), the last named bm."""
+    return f"""t AS (SELECT id, {terms_sql("coalesce(text, '')")} AS w FROM (SELECT doc_id AS id, text FROM {docs})), z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+a AS (SELECT DISTINCT query_id, unnest({terms_sql('query')}) AS term FROM {asked(None)}), f AS (SELECT id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM a) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term), bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM f JOIN df USING (term) JOIN a USING (term), z GROUP BY query_id, id)"""
+
+
+BM_ALL = bm_sql()
 
 
 def sparse_scores(spark, d):
     return K.bm25(table(spark, d, "documents"), asked(spark), "doc_id", "text", "query_id", "query")
 
 
-@query(f"WITH {BM} SELECT query_id, id, round(score, 5) AS score FROM bm")
+@query(f"WITH {BM_ALL} SELECT query_id, id, round(score, 5) AS score FROM bm")
 def bm25(spark, d):
     return sparse_scores(spark, d).withColumn("score", F.round("score", 5))
 
 
-LENGTHS = "dn AS (SELECT query_id, id, CAST(length AS DOUBLE) AS score FROM (SELECT doc_id AS id, length(text) AS length FROM documents WHERE text IS NOT NULL), (VALUES (1), (2), (3)) v(query_id))"
+DENSE = f"fq AS (SELECT query_id, query FROM {asked(None)}), ds AS (SELECT doc_id AS id, text FROM documents), {near_sql('dn', 'fq', 'ds', 60)}"
 
 
-def length_scores(spark, d):
-    """A second list of scores for the fusion queries that SQL can repeat: the length of the text."""
-    return table(spark, d, "documents").where("text is not null").select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("query_id"), F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"))
+def dense_scores(spark, d):
+    return K.nearest(asked(spark), table(spark, d, "documents"), 60, ident="doc_id").select("query_id", "id", "score", "rank")
 
 
-@query(f"""WITH {BM}, {LENGTHS}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS rank FROM bm UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM dn)
+@query(f"""WITH {BM_ALL}, {DENSE}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS rank FROM bm UNION ALL SELECT query_id, id, rank FROM dn)
 SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM r WHERE rank <= 50 GROUP BY query_id, id""")
 def rrf_fusion(spark, d):
-    return K.rrf([K.ranked(bm25(spark, d), 50), K.ranked(length_scores(spark, d), 50)]).withColumn("score", F.round("score", 6))
+    return K.rrf([K.ranked(bm25(spark, d), 50), dense_scores(spark, d).where("rank <= 50")]).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {BM}, {LENGTHS}, m AS (SELECT query_id, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS s FROM bm WINDOW w AS (PARTITION BY query_id)),
+@query(f"""WITH {BM_ALL}, {DENSE}, m AS (SELECT query_id, id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS s FROM bm WINDOW w AS (PARTITION BY query_id)),
 n AS (SELECT query_id, id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM dn WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, id, round(0.6 * coalesce(n.s, 0) + 0.4 * coalesce(m.s, 0), 5) AS score FROM n FULL JOIN m USING (query_id, id)""")
 def weighted_fusion(spark, d):
-    return K.weighted_fusion(length_scores(spark, d), sparse_scores(spark, d), 0.6).withColumn("score", F.round("score", 5))
-
-
-@query()
-def hybrid_pipeline(spark, d):
-    docs = table(spark, d, "documents")
-    return P.hybrid(docs, asked(spark), length_scores(spark, d), sparse_scores(spark, d), 10)
+    return K.weighted_fusion(dense_scores(spark, d), sparse_scores(spark, d), 0.6).withColumn("score", F.round("score", 5))
 
 
-@query("""WITH a AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY length(text) DESC, id) AS rank, CAST(length(text) AS DOUBLE) AS score, text AS content FROM (SELECT id, any_value(text) AS text FROM chunks WHERE language = 'en' AND text IS NOT NULL GROUP BY id)),
-b AS (SELECT 1 AS list_no, row_number() OVER (ORDER BY length(text) DESC, id) AS rank, CAST(length(text) AS DOUBLE) / 2 AS score, text AS content FROM (SELECT id, any_value(text) AS text FROM chunks WHERE year = 2023 AND text IS NOT NULL GROUP BY id)),
+@query("""WITH a AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY length(text) DESC, id) AS rank, CAST(length(text) AS DOUBLE) AS score, text AS content FROM (SELECT id, max(text) AS text FROM chunks WHERE language = 'en' AND text IS NOT NULL GROUP BY id)),
+b AS (SELECT 1 AS list_no, row_number() OVER (ORDER BY length(text) DESC, id) AS rank, CAST(length(text) AS DOUBLE) / 2 AS score, text AS content FROM (SELECT id, max(text) AS text FROM chunks WHERE year = 2023 AND text IS NOT NULL GROUP BY id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY list_no, rank) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
 SELECT list_no, CAST(rank AS INTEGER) AS rank, score, content, CAST(row_number() OVER (ORDER BY score DESC, list_no, rank) AS INTEGER) AS place FROM f WHERE n = 1""")
 def merge_dedup(spark, d):
     def listed(rows, weight):
-        rows = rows.where("text is not null").groupBy("id").agg(F.max("text").alias("content")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length("content")), "id")))
+        rows = rows.where("text is not null").groupBy("id").agg(F.max("text").alias("content")).transform(numbered, [-F.length("content"), F.col("id")])
         return rows.select("rank", (F.length("content").cast("double") * weight).alias("score"), "content")
 
     chunks = table(spark, d, "chunks")
@@ -512,52 +537,13 @@ def labelled(spark, d):
 @query(f"""SELECT query, count(*) FILTER (label = 'correct') AS n_correct, count(*) FILTER (label = 'ambiguous') AS n_ambiguous, count(*) FILTER (label = 'wrong') AS n_wrong,
 CASE WHEN count(*) FILTER (label = 'correct') > 0 THEN 'correct' WHEN count(*) FILTER (label = 'ambiguous') > 0 THEN 'ambiguous' ELSE 'wrong' END AS action FROM ({LABELS}) GROUP BY query""")
 def crag_decision(spark, d):
-    c = {k: F.count_if(F.col("label") == k) for k in ("correct", "ambiguous", "wrong")}
-    rows = labelled(spark, d).groupBy("query").agg(*[v.alias(f"n_{k}") for k, v in c.items()])
-    return rows.withColumn("action", F.when(F.col("n_correct") > 0, "correct").when(F.col("n_ambiguous") > 0, "ambiguous").otherwise("wrong"))
-
-
-@query(f"""WITH h AS (SELECT DISTINCT result_id, query, similarity AS score, context_chunk AS text FROM retrieval_results WHERE similarity BETWEEN -1 AND 1 AND NOT isnan(similarity) AND context_chunk IS NOT NULL),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS ws FROM h),
-p AS (SELECT *, CASE WHEN len(ws) > 0 THEN 'Based on evidence: ''' || substring(text, 1, 60) || '...'' — the answer to ''' || query || ''' relates to ' || ws[1] || ' and ' || ws[-1] || '.' ELSE '' END AS passage FROM w),
-o AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(passage), '{WS}+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> '')) AS b, len(list_filter(regexp_split_to_array(passage, '{WS}+'), lambda x: x <> '')) AS n FROM p),
-l AS (SELECT *, CASE WHEN score > 0.5 THEN 'relevant' ELSE 'irrelevant' END AS isrel, CASE WHEN len(list_intersect(a, b)) / (len(a) + 1e-9) > 0.3 THEN 'fully' WHEN len(list_intersect(a, b)) / (len(a) + 1e-9) > 0.1 THEN 'partially' ELSE 'no' END AS issup, CASE WHEN n > 20 THEN 'high' WHEN n > 10 THEN 'medium' ELSE 'low' END AS isuse FROM o)
-SELECT result_id, isrel, issup, isuse, round(0.2 * CASE WHEN isrel = 'relevant' THEN 1 ELSE 0 END + 0.5 * CASE issup WHEN 'fully' THEN 1 WHEN 'partially' THEN 0.5 ELSE 0 END + 0.3 * CASE isuse WHEN 'high' THEN 1 WHEN 'medium' THEN 0.6 ELSE 0.2 END, 6)::DOUBLE AS composite FROM l""")
-def self_rag_score(spark, d):
-    rows = table(spark, d, "retrieval_results").where("similarity between -1 and 1 and not isnan(similarity) and context_chunk is not null")
-    hits = rows.select("result_id", "query", F.col("similarity").alias("score"), F.col("context_chunk").alias("text")).distinct()
-    return P.candidates(hits).select("result_id", "isrel", "issup", "isuse", F.round("composite", 6).alias("composite"))
-
-
-# ---- graph
-
-
-def edges(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("n"), F.col("n_regionkey").cast("int").alias("r"))
-    down = n.select((F.col("n") * 2).alias("edge_pos"), F.concat(F.lit("r"), "r").alias("source_id"), F.concat(F.lit("n"), "n").alias("target_id"), F.lit("holds").alias("relation_type"))
-    across = n.select((F.col("n") * 2 + 1).alias("edge_pos"), F.concat(F.lit("n"), "n").alias("source_id"), F.concat(F.lit("n"), ((F.col("n") * 7 + 3) % 25).cast("string")).alias("target_id"), F.lit("trades").alias("relation_type"))
-    return down.unionByName(across)
-
-
-@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || ((n_nationkey * 7 + 3) % 25) FROM nation),
-v(id, depth) AS (SELECT 'r0', 0 UNION SELECT e.t, v.depth + 1 FROM v JOIN e ON e.s = v.id WHERE v.depth < 3)
-SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM v GROUP BY id""")
-def bfs_graph(spark, d):
-    starts = spark.createDataFrame([(0, "r0")], "start_pos int, id string")
-    return G.traverse(edges(spark, d), starts, 3, 1000).select("id", "depth")
-
-
-@query("SELECT CAST(n_nationkey AS INTEGER) * 2 AS edge_pos, 'r' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id, 'holds' AS relation_type FROM nation WHERE n_regionkey = 1")
-def graph_neighbours(spark, d):
-    return G.neighbours(edges(spark, d), "r1", "holds")
+    rows = P.decided(labelled(spark, d).withColumnRenamed("query", "query_id"))
+    return rows.withColumnRenamed("query_id", "query")
 
 
 # ---- pipelines
 
-
-def corpus(spark, d):
-    """All records, each id once: the corpus that the pipelines retrieve from."""
-    return table(spark, d, "chunks").where("text is not null").groupBy(F.col("id").cast("long").alias("doc_id")).agg(F.max("text").alias("text"))
+FEW = "(VALUES (1, 'What is a sparse vector index?'), (2, 'Compare our token budget over time'), (3, 'latest revenue count'), (4, 'Calculate 4.2 / 3.6 for market trends')) few(query_id, query)"
 
 
 def few_queries(spark):
@@ -565,64 +551,7 @@ def few_queries(spark):
     return spark.createDataFrame(rows, "query_id long, query string")
 
 
-def facts(spark):
-    return spark.createDataFrame([(0, "token_budget", "The token budget is 4096."), (1, "index_count", "There are 12 indexes."), (2, "market", "The market grew by 8%.")], "key_pos int, key string, value string")
-
-
-@query()
-def simple_rag(spark, d):
-    return P.simple(few_queries(spark), corpus(spark, d))
-
-
-@query()
-def hyde_rag(spark, d):
-    known = spark.createDataFrame([(0, "sparse index", "A sparse index maps terms to the documents that hold them."), (1, "token budget", "A token budget bounds the length of a prompt.")], "key_pos int, key string, hypothesis string")
-    return P.hyde(few_queries(spark), corpus(spark, d), known)
-
-
-@query()
-def memory_rag(spark, d):
-    return P.with_memory(turns(spark, d).where("conv_id % 50 = 0"), corpus(spark, d))
-
-
-@query()
-def adaptive_rag(spark, d):
-    return P.adaptive(few_queries(spark), corpus(spark, d))
-
-
-@query()
-def branched_rag(spark, d):
-    web = table(spark, d, "documents").where("text is not null").select("text").distinct()
-    return P.branched(few_queries(spark), corpus(spark, d), facts(spark), web)
-
-
-@query()
-def corrective_rag(spark, d):
-    web = table(spark, d, "documents").where("text is not null").select("text").distinct()
-    return P.corrective(few_queries(spark), corpus(spark, d), web)
-
-
-@query()
-def self_rag(spark, d):
-    return P.self_reflective(few_queries(spark), corpus(spark, d))
-
-
-@query()
-def graph_rag(spark, d):
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit("a nation").alias("description"))
-    r = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.lit("a region").alias("description"))
-    return P.graph_answers(1, "which nations trade with each other", n.unionByName(r), edges(spark, d))
-
-
-@query()
-def multimodal_rag(spark, d):
-    docs = corpus(spark, d).select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, "image").when(F.col("doc_id") % 3 == 1, "table").otherwise("text").alias("modality"), F.concat(F.lit("https://images.example/"), "doc_id").alias("url"))
-    return P.multimodal(few_queries(spark).withColumn("modality", F.lit("text")), docs)
-
-
-@query()
-def agentic_rag(spark, d):
-    return P.agent(few_queries(spark), corpus(spark, d), facts(spark))
+from skein import pipelines  # noqa: E402,F401  (registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
