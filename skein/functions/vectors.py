@@ -32,15 +32,19 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(gap))
 
 
+def with_norm(a: Column, then) -> Column:
+    """then(vector, norm) with both bound, so that neither is computed for every component."""
+    bound = F.transform(F.array(a), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.flatten(F.transform(bound, lambda s: then(s["v"], s["n"])))
+
+
 def normalize(a: Column) -> Column:
     """Unit vector in double precision; a zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return with_norm(a, lambda v, n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))
 
 
 def normalize_eps(a: Column, eps: float = 1e-9) -> Column:
-    size = norm(a) + F.lit(eps)
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return with_norm(a, lambda v, n: F.transform(v, lambda x: x.cast("double") / (n + F.lit(eps))))
 
 
 def scale(a: Column, factor: float) -> Column:

@@ -9,7 +9,7 @@ from skein.operators import chunking as C
 from skein.operators import ranking as K
 from skein.plans import patterns as P
 from skein.plans.layout import table
-from skein.registry import FEW, NL, SENTS, TURNS, WS, any_of, asked, bm_sql, cosine_sql, emb, few_queries, near_sql, query, turns
+from skein.registry import FEW, NL, SENTS, TURNS, WS, any_of, asked, bm_sql, cosine_sql, emb, few_queries, mmr_sql, near_sql, query, turns
 
 CORPUS = "corpus AS (SELECT CAST(id AS BIGINT) AS doc_id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id)"
 WEB = "web AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)"
@@ -236,19 +236,6 @@ def agentic_rag(spark, d):
 # ---- hybrid retrieval: filter, two retrievers, fusion, floor, diversity, re-ranking
 
 
-def mmr_sql(rows: str, k: int, balance: float = 0.7) -> str:
-    """CTEs of MMR over rows (query_id, id, score, v): the picks as (query_id, id, score, red, value, n), the last named picks."""
-    first = f"m1 AS (SELECT *, 0.0::DOUBLE AS red FROM {rows})"
-    pick = "p{k} AS (SELECT * FROM (SELECT *, {b} * score - {r} * red AS value, row_number() OVER (PARTITION BY query_id ORDER BY round({b} * score - {r} * red, 12) DESC, id) AS n FROM m{k}) WHERE n = 1)"
-    out = [first, pick.format(k=1, b=balance, r=round(1 - balance, 6))]
-    for j in range(2, k + 1):
-        near = cosine_sql("m.v", "p.v")
-        red = near if j == 2 else f"greatest(m.red, {near})"
-        out.append(f"m{j} AS (SELECT m.query_id, m.id, m.score, m.v, {red} AS red FROM m{j - 1} m JOIN p{j - 1} p USING (query_id) WHERE m.id <> p.id)")
-        out.append(pick.format(k=j, b=balance, r=round(1 - balance, 6)))
-    return ", ".join(out) + ", picks AS (" + " UNION ALL ".join(f"SELECT query_id, id, score, red, value, {j} AS pick FROM p{j}" for j in range(1, k + 1)) + ")"
-
-
 SCOPED = "(SELECT * FROM documents WHERE lang IN ('en', 'de', 'ru', 'zh') AND doc_id IS NOT NULL)"
 
 

@@ -70,6 +70,19 @@ def near_sql(name: str, rows: str, items: str, k: int) -> str:
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= {k})"
 
 
+def mmr_sql(rows: str, k: int, balance: float = 0.7) -> str:
+    """CTEs of MMR over rows (query_id, id, score, v): the picks as (query_id, id, score, red, value, n), the last named picks."""
+    first = f"m1 AS (SELECT *, 0.0::DOUBLE AS red FROM {rows})"
+    pick = "p{k} AS (SELECT * FROM (SELECT *, {b} * score - {r} * red AS value, row_number() OVER (PARTITION BY query_id ORDER BY round({b} * score - {r} * red, 12) DESC, id) AS n FROM m{k}) WHERE n = 1)"
+    out = [first, pick.format(k=1, b=balance, r=round(1 - balance, 6))]
+    for j in range(2, k + 1):
+        near = cosine_sql("m.v", "p.v")
+        red = near if j == 2 else f"greatest(m.red, {near})"
+        out.append(f"m{j} AS (SELECT m.query_id, m.id, m.score, m.v, {red} AS red FROM m{j - 1} m JOIN p{j - 1} p USING (query_id) WHERE m.id <> p.id)")
+        out.append(pick.format(k=j, b=balance, r=round(1 - balance, 6)))
+    return ", ".join(out) + ", picks AS (" + " UNION ALL ".join(f"SELECT query_id, id, score, red, value, {j} AS pick FROM p{j}" for j in range(1, k + 1)) + ")"
+
+
 # ---- filters and top-k
 
 
@@ -217,7 +230,10 @@ def sentence_windows(spark, d):
     return C.sentence_windows(table(spark, d, "documents"), "doc_id", "text", 3, 1).drop("start_pos", "end_pos")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT s.doc_id, d.text, s.s FROM ({SENTS}) s JOIN documents d USING (doc_id) WHERE len(s.s) > 0),
+r(doc_id, i, start_pos, end_pos) AS (SELECT doc_id, 1, strpos(text, s[1]) - 1, strpos(text, s[1]) - 1 + length(s[1]) FROM b
+UNION ALL SELECT r.doc_id, r.i + 1, f.p, f.p + length(b.s[r.i + 1]) FROM r JOIN b USING (doc_id), LATERAL (SELECT r.end_pos + greatest(strpos(substring(b.text, CAST(r.end_pos + 1 AS BIGINT)), b.s[r.i + 1]) - 1, 0) AS p) f WHERE r.i < len(b.s))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos FROM r""")
 def sentence_offsets(spark, d):
     return C.sentence_windows(table(spark, d, "documents"), "doc_id", "text", 1, 1).select("doc_id", "chunk_id", "start_pos", "end_pos")
 
@@ -243,7 +259,8 @@ def paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
-@query()
+@query(f"""WITH c AS ({FIXED.format(step=250, size=300)}), p AS (SELECT doc_id, chunk_id, text AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS b FROM c)
+SELECT doc_id, chunk_id, CAST(coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) AS INTEGER) AS shared FROM p WHERE b IS NOT NULL""")
 def chunk_overlaps(spark, d):
     return C.shared_ends(fixed_chunks(spark, d), "doc_id")
 
@@ -267,15 +284,30 @@ def recursive_chunks(spark, d):
     return C.recursive_chunks(table(spark, d, "documents"), "doc_id", "text", 500, 50)
 
 
-@query()
+TOKENS = f"""SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, CAST(i * 40 AS INTEGER) AS first_word, array_to_string(w[i * 40 + 1:i * 40 + 50], ' ') AS text FROM
+(SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 40.0) AS BIGINT))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL))"""
+
+
+@query(f"""WITH c AS (SELECT 'fixed' AS chunker, text FROM ({FIXED.format(step=450, size=500)}) UNION ALL SELECT 'sliding', text FROM ({FIXED.format(step=150, size=300)}) UNION ALL SELECT 'words', text FROM ({TOKENS}))
+SELECT chunker, count(*) AS chunks, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, round(avg(length(text)), 6) AS mean FROM c GROUP BY chunker""")
 def compare_chunkers(spark, d):
     docs = table(spark, d, "documents")
-    return C.compare_chunkers({"fixed": C.fixed_chunks(docs, "doc_id", "text", 500, 50), "recursive": C.recursive_chunks(docs, "doc_id", "text", 500, 50, strict=True)})
+    return C.compare_chunkers({"fixed": C.fixed_chunks(docs, "doc_id", "text", 500, 50), "sliding": C.sliding_chunks(docs, "doc_id", "text", 300, 150), "words": C.token_chunks(docs, "doc_id", "text", 50, 10)})
 
 
-@query()
+#: The sections of Markdown texts: headings and the bodies between them by one pattern, and the path of each heading.
+HEAD = f"(?m)^#{{1,6}}{WS}+[^\n]+$"
+MARKDOWN = f"""md0 AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{HEAD}'), lambda h: {{'level': length(regexp_extract(h, '^#+')), 'heading': {trim("regexp_replace(h, '^#+', '')")}}}) AS h, string_split_regex(text, '{HEAD}') AS b FROM documents WHERE text IS NOT NULL),
+md1 AS (SELECT doc_id, h, b, unnest(range(0, len(h) + 1)) AS k FROM md0),
+md2 AS (SELECT doc_id, k, CASE WHEN k = 0 THEN 0 ELSE h[k].level END AS heading_level, CASE WHEN k > 0 THEN h[k].heading WHEN len(h) > 0 THEN 'Preamble' ELSE 'Document' END AS heading, {trim("b[k + 1]")} AS body,
+array_to_string(list_transform(list_filter(range(1, k + 1), lambda j: j = k OR h[j].level < list_min(list_transform(range(j + 1, k + 1), lambda i: h[i].level))), lambda j: h[j].heading), ' > ') AS path FROM md1),
+md AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_id, CASE WHEN k = 0 THEN body ELSE {trim("repeat('#', CAST(heading_level AS BIGINT)) || ' ' || heading || chr(10) || chr(10) || body")} END AS text, heading, CAST(heading_level AS INTEGER) AS heading_level, CASE WHEN k = 0 THEN heading ELSE path END AS heading_path
+FROM md2 WHERE k > 0 OR body <> '')"""
+
+
+@query(f"WITH {MARKDOWN} SELECT *, false AS is_split FROM md")
 def markdown_chunks(spark, d):
-    return C.markdown_chunks(table(spark, d, "documents"), "doc_id", "text", 800)
+    return C.markdown_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
@@ -286,12 +318,20 @@ def html_chunks(spark, d):
     return C.html_chunks(table(spark, d, "documents").select("doc_id", page.alias("html")), "doc_id", "html")
 
 
-@query()
+@query(f"WITH {MARKDOWN} SELECT doc_id, chunk_id, repeat('  ', CAST(greatest(0, heading_level - 1) AS BIGINT)) || heading AS line FROM md")
 def document_outline(spark, d):
     return C.outline(C.markdown_chunks(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(f"WITH {MARKDOWN} SELECT doc_id, chunk_id, heading_path FROM md WHERE contains(lower(heading_path), 'index')")
+def under_heading(spark, d):
+    return C.under_heading(C.markdown_chunks(table(spark, d, "documents"), "doc_id", "text"), "Index").select("doc_id", "chunk_id", "heading_path")
+
+
+@query(f"""WITH {MARKDOWN}, sc AS (SELECT doc_id || '/' || chunk_id AS section, heading_path, list_filter(list_transform(string_split(regexp_replace({trim('text')}, '([.!?]){WS}+', '\\1' || {MARK}, 'g'), {MARK}), lambda s: {trim('s')}), lambda s: length(s) > 10) AS s FROM md),
+se AS (SELECT section, CAST(i AS INTEGER) AS pos, s[i + 1] AS t FROM (SELECT section, s, unnest(range(0, len(s))) AS i FROM sc)), ve AS (SELECT section, pos, t, {emb('t')} AS v FROM se), s AS (SELECT section, pos, t, {cosine_sql('v', 'lead(v) OVER w')} AS sim FROM ve WINDOW w AS (PARTITION BY section ORDER BY pos)),
+b AS (SELECT *, coalesce(sim <= quantile_cont(sim, 0.25) OVER (PARTITION BY section), false) AS cut FROM s), g AS (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_id FROM b)
+SELECT section, CAST(chunk_id AS INTEGER) AS chunk_id, string_agg(t, ' ' ORDER BY pos) AS text, min(pos) AS first_sent, max(pos) AS last_sent, any_value(heading_path) AS heading_path FROM g JOIN sc USING (section) GROUP BY section, chunk_id""")
 def structure_then_semantic(spark, d):
     parts = C.markdown_chunks(table(spark, d, "documents"), "doc_id", "text").select(F.concat_ws("/", "doc_id", "chunk_id").alias("section"), "heading_path", "text")
     sents = parts.select("section", F.posexplode(T.sentences(F.col("text"), 10)).alias("pos", "sentence")).withColumn("embedding", V.pseudo_embedding(F.col("sentence")))
@@ -343,7 +383,8 @@ def mmr(spark, d):
     return K.mmr(table(spark, d, "embeddings"), "vec_id", "embedding", vector_of(spark, d), 3).select("rank", "id", *map(r6, ("score", "redundancy", "mmr_score")))
 
 
-@query()
+@query(f"""WITH {Q0}, ca AS (SELECT 1 AS query_id, vec_id AS id, list_cosine_similarity(v, qv) AS score, v FROM ({E}), q), {mmr_sql('ca', 5)}, tk AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ca ORDER BY ca.score DESC, id LIMIT 5),
+j AS (SELECT CAST(t.rank AS INTEGER) AS rank, t.id AS topk_id, p.id AS mmr_id, p.id IN (SELECT id FROM tk) AS shared FROM tk t JOIN picks p ON p.pick = t.rank) SELECT *, CAST(count(*) FILTER (shared) OVER () AS INTEGER) AS n_shared FROM j""")
 def compare_topk_mmr(spark, d):
     return K.compare_with_mmr(table(spark, d, "embeddings"), "vec_id", "embedding", vector_of(spark, d), 5)
 

@@ -1,6 +1,8 @@
 import math
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import routing
@@ -46,8 +48,30 @@ def test_stride_sweep(spark):
 
 def test_packing_quirk_and_strict_form():
     words = [f"w0{i}" for i in range(1, 9)]
-    assert list(C.Packer(" ", 6, 0, False).pack(words)) == ["w01", "w02 w03", "w04 w05", "w06 w07", "w07 w08"]
-    assert all(len(p) <= 7 for p in C.Packer(" ", 7, 0, True).pack(words))
+    assert [" ".join(words[a:b]) for a, b in C.packed([3] * 8, 1, 6, 0, False)] == ["w01", "w02 w03", "w04 w05", "w06 w07", "w07 w08"]
+    assert [" ".join(words[a:b]) for a, b in C.packed([3] * 8, 1, 7, 0, True)] == ["w01 w02", "w03 w04", "w05 w06", "w07 w08"]
+    assert list(C.packed([], 1, 7, 0, True)) == []
+
+
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=30), st.integers(0, 2), st.integers(0, 19))
+def test_strict_packing(sizes, gap, overlap):
+    runs = list(C.packed(sizes, gap, 20, overlap, True))
+    length = lambda a, b: sum(sizes[a:b]) + gap * (b - a - 1)
+    assert all(length(a, b) <= 20 for a, b in runs) and runs[0][0] == 0 and runs[-1][1] == len(sizes)
+    assert all(x[1] >= y[0] > x[0] and y[1] > x[1] and (y[0] == x[1] or length(y[0], x[1]) <= overlap) for x, y in zip(runs, runs[1:]))
+    assert all(length(x[0], x[1] + 1) > 20 for x in runs[:-1])
+
+
+def test_section_parts():
+    assert list(C.section_parts("# A\n\n", "A", ["x" * 30, "y" * 5, "z" * 5], 20)) == ["# A", "[continued] A\n\n" + "x" * 30, "[continued] A\n\n" + "y" * 5, "[continued] A\n\n" + "z" * 5]
+    assert list(C.section_parts("# A\n\n", "A", [], 3)) == ["# A"]
+
+
+def test_size_guard(spark):
+    chunks = spark.createDataFrame([(1, 0, "short"), (1, 1, "word " * 30)], "doc_id int, chunk_id int, text string")
+    rows = C.size_guarded(chunks, "doc_id", 40).collect()
+    assert all(len(r.text) <= 40 for r in rows) and [r.text for r in rows if r.chunk_id == 0] == ["short"]
+    assert " ".join(r.text for r in sorted(rows, key=lambda r: r.part_no) if r.chunk_id == 1).split() == ["word"] * 30
 
 
 def test_recursive_chunks(spark):
@@ -182,6 +206,82 @@ def test_history_and_rewrite(spark):
     assert rows[0].rewritten == "m0" and rows[2].rewritten == "m2 (in the context of: m1...)" and rows[8].transcript.count("\n") == 5
 
 
+def test_appended_history(spark):
+    rows = spark.range(1).select(F.lit(None).cast("array<struct<role:string,text:string>>").alias("h"))
+    for k in range(4):
+        rows = rows.withColumn("h", routing.appended(F.col("h"), F.lit("user"), F.lit(f"m{k}"), 3))
+    assert [x.text for x in rows.first().h] == ["m1", "m2", "m3"]
+
+
+def test_terms_of_all_scripts(spark):
+    texts = ["Kovarianzschätzung, 2x!", "нейронная сеть", "向量索引", "فهرس المتجهات", "ab索c", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.terms(F.col("t")).alias("w")).collect()
+    assert [r.w for r in rows] == [["kovarianzschätzung", "2x"], ["нейронная", "сеть"], ["向量", "量索", "索引"], ["فهرس", "المتجهات"], ["ab", "索", "c"], None, []]
+
+
+def test_blocks_of_queries(spark):
+    items = spark.createDataFrame([(5, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (6, [1.0]), (7, [0.0, 0.0]), (None, [1.0, 1.0])], "id int, v array<double>")
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [0.0, 9.0])], "q int, w array<double>")
+    rows = sorted((r.query_id, r["rank"], r.id, r.score) for r in R.top_k_batch(queries, items, "q", "w", "id", "v", 2).collect())
+    assert rows == [(1, 1, 2, 1.0), (1, 2, 5, 1.0), (3, 1, 3, 1.0), (3, 2, None, round(0.5**0.5, 12))]
+    assert R.top_k_batch(queries.where("q = 2"), items, "q", "w", "id", "v", 2).count() == 0
+    with pytest.raises(ValueError):
+        R.in_blocks(spark.range(R.MOST_QUERIES + 1).selectExpr("id q", "array(1.0d, 2.0d) w"), items, "q", "w", "id", "v")
+
+
+def test_numbered(spark):
+    from skein.plans.layout import numbered
+
+    rows = [(i, (i * 37) % 11 if i % 3 else 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, s int")
+    got = [(r.s, r.id, r.before) for r in numbered(df, [-F.col("s"), F.col("id")], 7).orderBy("rank").collect()]
+    assert [(s, i) for s, i, _ in got] == [(s, i) for i, s in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert got[0][2] is None and all((-b.k0, b.k1) == (x[0], x[1]) for x, (_, _, b) in zip(got, got[1:]))
+    assert numbered(df.where("id < 0"), [F.col("id")]).count() == 0
+
+
+def test_mmr_of_many_queries_equals_one(spark):
+    df = spark.createDataFrame([(q, i, v) for q in (1, 2) for i, v in VECTORS], "query_id int, id string, vector array<double>").withColumn("score", F.get("vector", F.lit(0)))
+    rows = K.mmr_batch(df, 3, 0.5).orderBy("query_id", "rank").collect()
+    assert [r.id for r in rows] == ["a", "c", "b"] * 2 and [round(r.mmr_score, 6) for r in rows[:3]] == [0.4, 0.3, -0.18]
+
+
+def test_models_over_batches(spark):
+    from skein.functions import models
+
+    df = spark.createDataFrame([("a b", "B c"), (None, "x"), ("q", None)], "q string, t string")
+    scorer = models.pair_scorer(models.shared_words)
+    assert [None if r.s is None else round(r.s, 6) for r in df.select(scorer(F.col("q"), F.col("t")).alias("s")).collect()] == [0.5, None, None]
+    encoder = models.batch_encoder(models.digest_vectors)
+    for r in df.select(encoder(F.col("q")).alias("a"), V.pseudo_embedding(F.col("q")).alias("b")).collect():
+        assert (r.a is None) == (r.b is None) and (r.a is None or max(abs(x - y) for x, y in zip(r.a, r.b)) < 1e-5)
+
+
+def test_tools(spark):
+    calls = spark.createDataFrame([(1, "summarize", "word " * 40), (2, "calculate", "1 +"), (3, "nothing", "x"), (4, "web_search", "zzz")], "query_id long, tool string, input string")
+    docs = spark.createDataFrame([("d",)], "text string")
+    facts = spark.createDataFrame([(0, "market", "It grew.")], "key_pos int, key string, value string")
+    seen = {r.query_id: r.observation for r in P.call_tools(calls, P.standard_tools(docs, facts)).collect()}
+    assert seen[1].startswith("Summary: word") and seen[1].endswith("... [truncated]") and seen[2].startswith("Calculation error")
+    assert seen[3] == "Unknown tool: nothing" and seen[4] == "Web search: No highly relevant results found."
+
+
+def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
+    from skein.plans import layout
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda name, default: default)}), Context()
+
+    with pytest.raises(RuntimeError):
+        layout.shared_folder(Session())
+
+
 def test_streaming_memory_equals_batch(spark, tmp_path):
     from skein.streaming.memory import remember
 
