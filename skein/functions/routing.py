@@ -45,13 +45,11 @@ def is_relevant(score: Column) -> Column:
 
 
 def support(passage: Column, doc: Column) -> Column:
-    share = T.overlap_share(passage, doc)
-    return F.when(share > 0.3, "fully").when(share > 0.1, "partially").otherwise("no")
+    return T.let(T.overlap_share(passage, doc), lambda share: F.when(share > 0.3, "fully").when(share > 0.1, "partially").otherwise("no"))
 
 
 def usefulness(passage: Column) -> Column:
-    n = T.word_count(passage)
-    return F.when(n > 20, "high").when(n > 10, "medium").otherwise("low")
+    return T.let(T.word_count(passage), lambda n: F.when(n > 20, "high").when(n > 10, "medium").otherwise("low"))
 
 
 def composite(isrel: Column, issup: Column, isuse: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim_ws(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -29,9 +34,9 @@ def sentence_offsets(text: Column, parts: Column) -> Column:
     """Start and end of each sentence, looked up behind the one before; one that is not found starts at the cursor."""
     def step(acc, s):
         found = F.call_function("locate", s, text, acc["cursor"] + 1)
-        start = F.when(found > 0, found - 1).otherwise(acc["cursor"])
-        end = start + F.length(s)
-        return F.struct(end.cast("int").alias("cursor"), F.concat(acc["spans"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))).alias("spans"))
+        start = let(found, lambda f: F.when(f > 0, f - 1).otherwise(acc["cursor"]).cast("int"))
+        span = lambda at: F.struct(at.alias("start"), (at + F.length(s)).cast("int").alias("end"))
+        return let(start, lambda at: F.struct((at + F.length(s)).cast("int").alias("cursor"), F.concat(acc["spans"], F.array(span(at))).alias("spans")))
 
     zero = F.struct(F.lit(0).alias("cursor"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
     return F.aggregate(parts, zero, step, lambda acc: acc["spans"])
@@ -99,5 +104,5 @@ def boundary_flags(text: Column) -> tuple[Column, Column]:
 
 def overlap_share(a: Column, b: Column) -> Column:
     """Share of the distinct words of a that b has too."""
-    one, two = F.array_distinct(word_list(F.lower(a))), F.array_distinct(word_list(F.lower(b)))
-    return F.size(F.array_intersect(one, two)) / (F.size(one) + F.lit(1e-9))
+    two = F.array_distinct(word_list(F.lower(b)))
+    return let(F.array_distinct(word_list(F.lower(a))), lambda one: F.size(F.array_intersect(one, two)) / (F.size(one) + F.lit(1e-9)))

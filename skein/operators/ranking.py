@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions.vectors import cosine, dot, normalize, pseudo_embedding
-from skein.operators.retrieval import literal_vector, top_k
+from skein.operators.retrieval import literal_vector, stated, top_k
 from skein.plans.layout import cut, numbered
 
 Encoder = Callable[[Column], Column]
@@ -94,7 +94,7 @@ def best_tokens(query_tokens: DataFrame, doc_tokens: DataFrame, query_id: str, d
     """(query_id, doc_id, query_pos, best, doc_pos): for each query token the best token of each document, first on ties."""
     q = query_tokens.select(F.col(query_id).alias("query_id"), F.col(pos).alias("query_pos"), normalize(F.col(vector)).alias("_q"))
     d = doc_tokens.select(F.col(doc_id).alias("doc_id"), F.col(pos).alias("doc_pos"), normalize(F.col(vector)).alias("_d"))
-    pairs = d.join(q, F.lit(True)).select("query_id", "doc_id", "query_pos", "doc_pos", dot(F.col("_q"), F.col("_d")).alias("sim"))
+    pairs = d.join(stated(q), F.lit(True)).select("query_id", "doc_id", "query_pos", "doc_pos", dot(F.col("_q"), F.col("_d")).alias("sim"))
     best = pairs.groupBy("query_id", "doc_id", "query_pos").agg(F.min(F.struct((-F.col("sim")).alias("far"), "doc_pos")).alias("_b"))
     return best.select("query_id", "doc_id", "query_pos", (-F.col("_b.far")).alias("best"), F.col("_b.doc_pos").alias("doc_pos"))
 
@@ -135,7 +135,7 @@ def compare_models(queries: DataFrame, candidates: DataFrame, ident: str, text:
         before = (prefixes or {}).get(model, ("", ""))
         q = queries.select("query_id", normalize(encoder(T.prefixed(F.col("query"), before[0]))).alias("_q"))
         d = candidates.select(F.col(ident).alias("id"), normalize(encoder(T.prefixed(F.col(text), before[1]))).alias("_d"))
-        rows = d.join(q, F.lit(True)).select(F.lit(model).alias("model"), "query_id", "id", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
+        rows = d.join(stated(q), F.lit(True)).select(F.lit(model).alias("model"), "query_id", "id", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("model", "query_id").orderBy(F.desc("score"), "id")))
 
@@ -170,8 +170,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, encoder: Encoder = pse
     """
     q = queries.select("query_id", normalize(encoder(F.col("query"))).alias("_q"))
     d = items.select(F.col(ident).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).withColumn("_d", normalize(encoder(F.col("text"))))
-    pairs = d.join(q, F.lit(True)).select("query_id", "id", "text", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    pairs = d.join(stated(q), F.lit(True)).select("query_id", "id", "text", dot(F.col("_q"), F.col("_d")).alias("score"))
+    # scores are looked at behind the ranking, where they are computed once; null ones are last
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where((F.col("rank") <= k) & F.col("score").isNotNull())
 
 
 def small_to_big(children: DataFrame, parents: DataFrame, score: Column, k: int = 3, ident: str = "chunk_id", parent: str = "parent_id") -> DataFrame:

@@ -76,6 +76,13 @@ def top_k(df: DataFrame, score: Column, ident: str, k: int = 3, threshold: float
 MOST_QUERIES = 16_384
 
 
+def stated(queries: DataFrame) -> DataFrame:
+    """A stated set of queries as a side that is sent to every task: at most MOST_QUERIES rows, more raise when run."""
+    few = queries.limit(MOST_QUERIES + 1).withColumn("_many", F.count("*").over(Window.partitionBy(F.lit(0))))
+    error = F.raise_error(F.lit(f"more than {MOST_QUERIES} queries: use an index")).cast("boolean")
+    return F.broadcast(few.where(F.when(F.col("_many") > MOST_QUERIES, error).otherwise(True)).drop("_many"))
+
+
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of an array column that are vectors of the given length, and these as unit vectors; no length stays zero."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -86,10 +93,11 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, x / np.where(sizes > 0, sizes, 1.0)
 
 
-def in_blocks(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, ident: str, vector: str, k: int | None = None, threshold: float | None = None) -> DataFrame:
+def in_blocks(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, ident: str, vector: str, k: int | None = None, threshold: float | None = None, greater: bool = False) -> DataFrame:
     """(query_id, id, score): cosines of a stated set of queries with all items, as products of normalised matrices.
 
-    With k, a block of items gives no more than k rows of a query, ties to the smaller id. Queries without a vector
+    The queries' vectors are collected when this is called, and sent out. With k, a block of items gives no more than k
+    rows of a query, ties to the smaller id, or to the greater one if that is asked for. Queries without a vector
     take no part, nor items whose vectors are null or of another length. Scores are rounded to 12 digits, so that
     equal vectors have equal scores wherever they lie. More than MOST_QUERIES queries raise.
     """
@@ -121,7 +129,7 @@ def in_blocks(queries: DataFrame, items: DataFrame, query_id: str, query_vector:
                 if k is not None and len(row):
                     place = np.empty(len(ids), np.int64)
                     place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
-                    order = np.lexsort((place[col], -sims[row, col], row))
+                    order = np.lexsort((-place[col] if greater else place[col], -sims[row, col], row))
                     row, col = row[order], col[order]
                     head = np.searchsorted(row, row)
                     few = np.arange(len(row)) - head < k

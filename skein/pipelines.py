@@ -8,8 +8,8 @@ from skein.functions import models, routing
 from skein.operators import chunking as C
 from skein.operators import ranking as K
 from skein.plans import patterns as P
-from skein.plans.layout import table
-from skein.registry import FEW, NL, SENTS, TURNS, WS, any_of, asked, bm_sql, cosine_sql, emb, few_queries, mmr_sql, near_sql, query, turns
+from skein.plans.layout import spread, table
+from skein.registry import FEW, NL, SENTS, TURNS, WS, any_of, asked, bm_sql, cosine_sql, documents, emb, few_queries, mmr_sql, near_sql, query, turns
 
 CORPUS = "corpus AS (SELECT CAST(id AS BIGINT) AS doc_id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id)"
 WEB = "web AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)"
@@ -141,7 +141,7 @@ def self_rag(spark, d):
 @query(f"""WITH h AS (SELECT DISTINCT result_id, query, similarity AS score, context_chunk AS text FROM retrieval_results WHERE similarity BETWEEN -1 AND 1 AND NOT isnan(similarity) AND context_chunk IS NOT NULL), {PASSAGE} SELECT result_id, isrel, issup, isuse, composite FROM c""")
 def self_rag_score(spark, d):
     rows = table(spark, d, "retrieval_results").where("similarity between -1 and 1 and not isnan(similarity) and context_chunk is not null")
-    scored = P.candidates(rows.select("result_id", "query", F.col("similarity").alias("score"), F.col("context_chunk").alias("text")))
+    scored = P.candidates(spread(rows.select("result_id", "query", F.col("similarity").alias("score"), F.col("context_chunk").alias("text")), "result_id"))
     # repeated rows count once; a hash of the text tells them apart, so that no text is shuffled
     names = ["result_id", "isrel", "issup", "isuse", "composite"]
     return scored.select(*names, "query", "score", F.xxhash64("text").alias("_h")).distinct().select(*names[:-1], F.round("composite", 6).alias("composite"))
@@ -246,7 +246,7 @@ wd AS (SELECT p.query_id, q.query, p.id, p.score AS fused, p.pick, sc.text, list
 re AS (SELECT *, len(list_intersect(a, b)) / (len(a) + 1e-9) AS s FROM wd), ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM re)
 SELECT query_id, query, CAST(rank AS INTEGER) AS rank, id, round(fused, 9) AS fused, CAST(pick AS INTEGER) AS mmr_rank, round(s, 6) AS score, text FROM ra WHERE rank <= 3""")
 def hybrid_pipeline(spark, d):
-    docs = table(spark, d, "documents").where("doc_id is not null")
+    docs = documents(spark, d).where("doc_id is not null")
     rows = P.hybrid(docs, asked(spark), {"lang": {"$in": ["en", "de", "ru", "zh"]}}, k=3, floor=0.01, diverse=6, scorer=models.pair_scorer(models.shared_words))
     return rows.withColumn("fused", F.round("fused", 9)).withColumn("score", F.round("score", 6))
 
@@ -266,7 +266,7 @@ AROUND = "string_agg(lo.text, ' ' ORDER BY lo.pos)"
 
 
 def windows_found(spark, d):
-    sents = C.sentence_index(table(spark, d, "documents"), "doc_id", "text")
+    sents = C.sentence_index(documents(spark, d), "doc_id", "text")
     return K.sentence_window_retrieve(few_queries(spark), sents, "doc_id", 2, 3)
 
 

@@ -17,6 +17,7 @@ from skein.functions import routing as K
 from skein.functions import text as T
 from skein.functions.vectors import dot, multimodal_embedding, normalize, pseudo_embedding
 from skein.operators.graph import describe, traverse_all
+from skein.operators.retrieval import in_blocks, stated
 
 Encoder = Callable[[Column], Column]
 Tool = Callable[[DataFrame], DataFrame]
@@ -26,17 +27,24 @@ def constant_answer(prompt: Column) -> Column:
     return F.when(prompt.isNotNull(), F.lit("[generated answer]"))
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int = 3, encoder: Encoder = pseudo_embedding, query: str = "query", source: str = "vector") -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 3, encoder: Encoder = pseudo_embedding, query: str = "query", source: str = "vector", many: bool = False) -> DataFrame:
     """(query_id, rank, score, text, source): the k best documents of every query; ties go to the greater text.
 
     The queries are a stated set, met with all documents; every vector is scaled to unit length once, before that, and
-    each task keeps k documents of a query. For queries as many as documents there are sharded indexes.
+    each task keeps k documents of a query. With many, for hundreds of queries and more, pairs are scored in blocks, by
+    products of matrices, for which the queries' vectors are collected first.
     """
+    if many:
+        asked = queries.select("query_id", encoder(F.col(query)).alias("_q"))
+        found = docs.select("text").where(F.col("text").isNotNull()).withColumn("_d", encoder(F.col("text")))
+        pairs = in_blocks(asked, found, "query_id", "_q", "text", "_d", k, greater=True).withColumnRenamed("id", "text")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("text")))
+        return pairs.withColumn("rank", place).where(F.col("rank") <= k).withColumn("source", F.lit(source))
     q = queries.select("query_id", normalize(encoder(F.col(query))).alias("_q"))
     d = docs.select("text").where(F.col("text").isNotNull()).withColumn("_d", normalize(encoder(F.col("text"))))
-    pairs = d.join(q, F.lit(True)).select("query_id", "text", dot(F.col("_q"), F.col("_d")).alias("score")).where("score is not null")
+    pairs = d.join(stated(q), F.lit(True)).select("query_id", "text", dot(F.col("_q"), F.col("_d")).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("text")))
-    return pairs.withColumn("rank", place).where(F.col("rank") <= k).withColumn("source", F.lit(source))
+    return pairs.withColumn("rank", place).where((F.col("rank") <= k) & F.col("score").isNotNull()).withColumn("source", F.lit(source))
 
 
 def context(hits: DataFrame, line: Column, order: list[Column], gap: str = "\n") -> DataFrame:
@@ -92,7 +100,7 @@ def rewrite_turns(turns: DataFrame, messages: int = 6) -> DataFrame:
 def with_memory(turns: DataFrame, docs: DataFrame, k: int = 3, messages: int = 6, encoder: Encoder = pseudo_embedding, generate=constant_answer) -> DataFrame:
     """Retrieval by the rewritten turn; the prompt holds the transcript and the turn as it was asked."""
     rows = rewrite_turns(turns, messages).withColumn("query_id", F.concat_ws("/", "conv_id", "turn")).withColumnRenamed("text", "query")
-    found = bullets(retrieve(rows, docs, k, encoder, "rewritten")).withColumnRenamed("context", "_c")
+    found = bullets(retrieve(rows, docs, k, encoder, "rewritten", many=True)).withColumnRenamed("context", "_c")
     joined = rows.join(found, "query_id", "left")
     whole = joined.select("query_id", F.concat(F.lit("History:\n"), F.col("transcript"), F.lit("\n\nDocuments:\n"), F.coalesce("_c", F.lit(""))).alias("context"))
     return prompted(rows, whole, "Use the history and the documents.", generate)
@@ -111,7 +119,7 @@ def adaptive(queries: DataFrame, docs: DataFrame, encoder: Encoder = pseudo_embe
 
 def structured_hits(queries: DataFrame, facts: DataFrame, k: int = 2) -> DataFrame:
     """Facts (key_pos, key, value) whose key, or a part of it between underscores, occurs in the query: score 1; else the first k at 0.5."""
-    pairs = queries.select("query_id", "query").join(facts, F.lit(True))
+    pairs = facts.join(stated(queries.select("query_id", "query")), F.lit(True))
     hit = F.contains(F.lower("query"), F.col("key")) | T.has_any_word_of(F.col("query"), F.col("key"), "_")
     pairs = pairs.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     w = Window.partitionBy("query_id")
@@ -172,10 +180,12 @@ def corrective(queries: DataFrame, docs: DataFrame, web: DataFrame, k: int = 3,
 
 def candidates(hits: DataFrame) -> DataFrame:
     """Hits (query_id, query, rank, score, text) with a passage and its labels for relevance, support and use."""
-    rows = hits.withColumn("_w", T.word_list(F.col("text")))
     # a fixed value: the form of a passage
-    passage = F.concat(F.lit("Based on evidence: '"), F.substring("text", 1, 60), F.lit("...' — the answer to '"), F.col("query"), F.lit("' relates to "), F.get("_w", F.lit(0)), F.lit(" and "), F.element_at("_w", -1), F.lit("."))
-    rows = rows.withColumn("passage", F.when(F.size("_w") > 0, passage).otherwise("")).drop("_w").withColumn("isrel", K.is_relevant(F.col("score")))
+    def passage(w: Column) -> Column:
+        told = F.concat(F.lit("Based on evidence: '"), F.substring("text", 1, 60), F.lit("...' — the answer to '"), F.col("query"), F.lit("' relates to "), F.get(w, F.lit(0)), F.lit(" and "), F.element_at(w, -1), F.lit("."))
+        return F.when(F.size(w) > 0, told).otherwise("")
+
+    rows = hits.withColumn("passage", T.let(T.word_list(F.col("text")), passage)).withColumn("isrel", K.is_relevant(F.col("score")))
     rows = rows.withColumn("issup", K.support(F.col("passage"), F.col("text"))).withColumn("isuse", K.usefulness(F.col("passage")))
     return rows.withColumn("composite", K.composite(F.col("isrel"), F.col("issup"), F.col("isuse")))
 
@@ -207,8 +217,8 @@ def multimodal(queries: DataFrame, docs: DataFrame, k: int = 3, only: str | None
     """
     q = queries.select("query_id", normalize(multimodal_embedding(F.col("query"), F.col("modality"))).alias("_q"))
     d = (docs.where(F.col("modality") == only) if only else docs).withColumn("_d", normalize(multimodal_embedding(F.col("content"), F.col("modality"))))
-    pairs = d.join(q, F.lit(True)).withColumn("score", dot(F.col("_q"), F.col("_d"))).where("score is not null")
-    hits = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    pairs = d.join(stated(q), F.lit(True)).withColumn("score", dot(F.col("_q"), F.col("_d")))
+    hits = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where((F.col("rank") <= k) & F.col("score").isNotNull())
     # fixed values: the forms of the lines
     image = F.format_string("[IMAGE | %.3f] (URL: %s)\nVisual content: %s", F.col("score"), F.coalesce(F.col("metadata")["url"], F.lit("N/A")), F.col("content"))
     line = F.when(F.col("modality") == "image", image).otherwise(F.format_string("[%s | %.3f]\n%s", F.upper("modality"), F.col("score"), F.col("content")))

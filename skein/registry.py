@@ -16,7 +16,7 @@ from skein.operators import ranking as K
 from skein.operators import retrieval as R
 from skein.operators import semantic as S
 from skein.plans import patterns as P
-from skein.plans.layout import numbered, table
+from skein.plans.layout import numbered, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,11 @@ def vector_of(spark: SparkSession, d: str, ident: int = 0):
     return table(spark, d, "embeddings").where(F.col("vec_id") == ident).select("embedding").first()[0]
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents for stages that cost much a row: spread over the cores where they lie in fewer files."""
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
 def r6(name: str):
     return F.round(name, 6).alias(name)
 
@@ -217,17 +222,17 @@ def stride_sweep(spark, d):
 
 @query(f"""SELECT doc_id, CAST(i AS INTEGER) AS pos, s[i + 1] AS sentence FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM ({SENTS}))""")
 def sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return documents(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query(f"""SELECT doc_id, 'sent_' || i AS chunk_id, CAST(i AS INTEGER) AS pos, s[i + 1] AS sentence FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, list_filter(s, lambda x: length(x) > 10) AS s FROM ({SENTS})))""")
 def sentence_index(spark, d):
-    return C.sentence_index(table(spark, d, "documents"), "doc_id", "text")
+    return C.sentence_index(documents(spark, d), "doc_id", "text")
 
 
 @query(f"""SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, array_to_string(s[i + 1:i + 3], ' ') AS text, CAST(i AS INTEGER) AS first_sent, CAST(least(i + 3, len(s)) - 1 AS INTEGER) AS last_sent FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM ({SENTS}))""")
 def sentence_windows(spark, d):
-    return C.sentence_windows(table(spark, d, "documents"), "doc_id", "text", 3, 1).drop("start_pos", "end_pos")
+    return C.sentence_windows(documents(spark, d), "doc_id", "text", 3, 1, offsets=False)
 
 
 @query(f"""WITH RECURSIVE b AS (SELECT s.doc_id, d.text, s.s FROM ({SENTS}) s JOIN documents d USING (doc_id) WHERE len(s.s) > 0),
@@ -235,7 +240,7 @@ r(doc_id, i, start_pos, end_pos) AS (SELECT doc_id, 1, strpos(text, s[1]) - 1, s
 UNION ALL SELECT r.doc_id, r.i + 1, f.p, f.p + length(b.s[r.i + 1]) FROM r JOIN b USING (doc_id), LATERAL (SELECT r.end_pos + greatest(strpos(substring(b.text, CAST(r.end_pos + 1 AS BIGINT)), b.s[r.i + 1]) - 1, 0) AS p) f WHERE r.i < len(b.s))
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos FROM r""")
 def sentence_offsets(spark, d):
-    return C.sentence_windows(table(spark, d, "documents"), "doc_id", "text", 1, 1).select("doc_id", "chunk_id", "start_pos", "end_pos")
+    return C.sentence_windows(documents(spark, d), "doc_id", "text", 1, 1).select("doc_id", "chunk_id", "start_pos", "end_pos")
 
 
 @query(f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)""")
@@ -281,7 +286,7 @@ def parent_child_index(spark, d):
 
 @query()
 def recursive_chunks(spark, d):
-    return C.recursive_chunks(table(spark, d, "documents"), "doc_id", "text", 500, 50)
+    return C.recursive_chunks(documents(spark, d), "doc_id", "text", 500, 50)
 
 
 TOKENS = f"""SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, CAST(i * 40 AS INTEGER) AS first_word, array_to_string(w[i * 40 + 1:i * 40 + 50], ' ') AS text FROM
@@ -315,7 +320,7 @@ def html_chunks(spark, d):
     # the corpus has no HTML: every text becomes a page of headings and paragraphs first
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     page = F.concat(F.lit("<html><body>"), F.regexp_replace(F.regexp_replace(safe, r"(?m)^(#{1,4}) (.+)$", "<h2>$2</h2>"), "\n\n", "<p>"), F.lit("</body></html>"))
-    return C.html_chunks(table(spark, d, "documents").select("doc_id", page.alias("html")), "doc_id", "html")
+    return C.html_chunks(documents(spark, d).select("doc_id", page.alias("html")), "doc_id", "html")
 
 
 @query(f"WITH {MARKDOWN} SELECT doc_id, chunk_id, repeat('  ', CAST(greatest(0, heading_level - 1) AS BIGINT)) || heading AS line FROM md")
@@ -333,7 +338,7 @@ se AS (SELECT section, CAST(i AS INTEGER) AS pos, s[i + 1] AS t FROM (SELECT sec
 b AS (SELECT *, coalesce(sim <= quantile_cont(sim, 0.25) OVER (PARTITION BY section), false) AS cut FROM s), g AS (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_id FROM b)
 SELECT section, CAST(chunk_id AS INTEGER) AS chunk_id, string_agg(t, ' ' ORDER BY pos) AS text, min(pos) AS first_sent, max(pos) AS last_sent, any_value(heading_path) AS heading_path FROM g JOIN sc USING (section) GROUP BY section, chunk_id""")
 def structure_then_semantic(spark, d):
-    parts = C.markdown_chunks(table(spark, d, "documents"), "doc_id", "text").select(F.concat_ws("/", "doc_id", "chunk_id").alias("section"), "heading_path", "text")
+    parts = C.markdown_chunks(documents(spark, d), "doc_id", "text").select(F.concat_ws("/", "doc_id", "chunk_id").alias("section"), "heading_path", "text")
     sents = parts.select("section", F.posexplode(T.sentences(F.col("text"), 10)).alias("pos", "sentence")).withColumn("embedding", V.pseudo_embedding(F.col("sentence")))
     return S.by_percentile(sents, "section").join(parts.select("section", "heading_path"), "section").drop("avg_similarity")
 
@@ -439,7 +444,7 @@ def rank_models(spark, d):
 s AS (SELECT *, {cosine_sql(emb("'how does the index stay small'"), emb('text'))} AS score FROM k), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM s), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY rank) AS n FROM r WHERE rank <= 5) WHERE n = 1)
 SELECT b.parent_id, child_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, p.text AS context FROM b JOIN p ON p.doc_id || '/' || p.parent_id = b.parent_id""")
 def small_to_big(spark, d):
-    parents, children = C.parent_child(table(spark, d, "documents"), "doc_id", "text")
+    parents, children = C.parent_child(documents(spark, d), "doc_id", "text")
     name = F.concat_ws("/", "doc_id", "parent_id")
     query_vector = V.pseudo_embedding(F.lit("how does the index stay small"))
     return K.small_to_big(children.withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_id")).withColumn("parent_id", name), parents.withColumn("parent_id", name), V.cosine_eps(V.pseudo_embedding(F.col("text")), query_vector), 5).select("parent_id", "child_id", "rank", r6("score"), "context")
@@ -482,7 +487,7 @@ BM_ALL = bm_sql()
 
 
 def sparse_scores(spark, d):
-    return K.bm25(table(spark, d, "documents"), asked(spark), "doc_id", "text", "query_id", "query")
+    return K.bm25(documents(spark, d), asked(spark), "doc_id", "text", "query_id", "query")
 
 
 @query(f"WITH {BM_ALL} SELECT query_id, id, round(score, 5) AS score FROM bm")
@@ -494,7 +499,7 @@ DENSE = f"fq AS (SELECT query_id, query FROM {asked(None)}), ds AS (SELECT doc_i
 
 
 def dense_scores(spark, d):
-    return K.nearest(asked(spark), table(spark, d, "documents"), 60, ident="doc_id").select("query_id", "id", "score", "rank")
+    return K.nearest(asked(spark), documents(spark, d), 60, ident="doc_id").select("query_id", "id", "score", "rank")
 
 
 @query(f"""WITH {BM_ALL}, {DENSE}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, id) AS rank FROM bm UNION ALL SELECT query_id, id, rank FROM dn)
