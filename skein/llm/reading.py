@@ -41,13 +41,14 @@ SPACED = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 TOKEN = re.compile(r"[぀-ヿ一-鿿฀-๿]+|[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"[.!?…]+[\"”’'»)]*(?=\s|$)|[。！？।؟]+|\n")
 CLAUSE_MARK = re.compile(r"[,;:，、；：،؛—–]")
-#: Connectives and subordinating words.
+#: Connectives and subordinating words; of Chinese and Japanese those of two characters, as words are pairs there.
 CONNECTIVES = frozenset(
     "however therefore thus hence whence moreover nevertheless nonetheless notwithstanding although though whereas unless because since while insofar conversely whereby wherein lest whose which irrespective "
     "jedoch daher deshalb dennoch ungeachtet obwohl während weil inwiefern wenngleich welche sofern sodass "
     "cependant donc toutefois néanmoins nonobstant bien lorsque puisque dont laquelle ainsi "
     "sin embargo pues aunque mientras porque cuya cuyo obstante ende "
     "однако поэтому хотя поскольку невзирая посредством отсюда следует нежели которые "
+    "因此 所以 然而 虽然 因为 尽管 由于 从而 此外 ため ので のに 故に 即ち 一方 "
     "وعلى فإن أن التي الذي إلا अतः जिसकी बावजूद परंतु यद्यपि जो".split()
 )
 NAMES = ("length", "log_words", "sentence", "long_sentence", "word", "long_words", "diversity", "rarity", "rare", "connectives", "clauses", "grade", "grade_high", "grade_low", "grade_spread", "unspaced")
