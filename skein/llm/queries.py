@@ -86,7 +86,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_within(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each source's tokens are within four standard deviations of rounding from its goal, or all used if short."""
+    """Whether each source's tokens are within two of its largest documents from its goal, or all used if it is short."""
     return p7_report(spark, d).select("source", "target_share", "max_passes", "within")
 
 
