@@ -99,6 +99,27 @@ def best_tokens(query_tokens: DataFrame, doc_tokens: DataFrame, query_id: str, d
     return best.select("query_id", "doc_id", "query_pos", (-F.col("_b.far")).alias("best"), F.col("_b.doc_pos").alias("doc_pos"))
 
 
+def mean_vectors(tokens: DataFrame, ident: str, vector: str) -> DataFrame:
+    """(id, vector): the mean of the token vectors of each id, the single vector that stands for all of them."""
+    each = tokens.select(F.col(ident).alias("id"), F.posexplode(vector).alias("_i", "_x")).groupBy("id", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "_x")))
+    return each.groupBy("id").agg(F.transform(ordered, lambda p: p["_x"]).alias("vector"))
+
+
+def single_and_multi(query_tokens: DataFrame, doc_tokens: DataFrame, query_id: str, doc_id: str, vector: str) -> DataFrame:
+    """(query_id, doc_id, single, multi, single_rank, multi_rank): documents by one vector and by all their token vectors.
+
+    single is the cosine of the mean vectors, multi the MaxSim score; ranks are within the query, ties to the smaller id.
+    """
+    q = mean_vectors(query_tokens, query_id, vector).select(F.col("id").alias("query_id"), normalize(F.col("vector")).alias("_q"))
+    d = mean_vectors(doc_tokens, doc_id, vector).select(F.col("id").alias("doc_id"), normalize(F.col("vector")).alias("_d"))
+    single = d.join(stated(q), F.lit(True)).select("query_id", "doc_id", dot(F.col("_q"), F.col("_d")).alias("single"))
+    both = single.join(maxsim(query_tokens, doc_tokens, query_id, doc_id, vector).withColumnRenamed("score", "multi"), ["query_id", "doc_id"])
+    for name in ("single", "multi"):
+        both = both.withColumn(f"{name}_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(name), "doc_id")))
+    return both
+
+
 def maxsim_arrays(query: Column, doc: Column) -> Column:
     """MaxSim of two arrays of token vectors of unit length in one row."""
     return F.aggregate(F.transform(query, lambda q: F.array_max(F.transform(doc, lambda d: dot(q, d)))), F.lit(0.0), lambda s, x: s + x)

@@ -204,15 +204,31 @@ def graph_rag(spark, d):
     return P.graph_answers(few_queries(spark), n.unionByName(r), edges(spark, d))
 
 
-@query(f"""WITH {ASKS}, {CORPUS}, m AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'image' WHEN doc_id % 3 = 1 THEN 'table' ELSE 'text' END AS modality FROM corpus),
-dv AS (SELECT *, CASE WHEN modality = 'image' THEN list_transform(list_zip({emb('text')}, {emb('text', salt='image')}), lambda z: CAST(CAST(z[1] AS FLOAT) + CAST(z[2] AS FLOAT) * CAST(0.1 AS FLOAT) AS DOUBLE)) ELSE {emb('text')} END AS v FROM m),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.query_id, doc_id, text, modality, {cosine_sql('q.v', 'dv.v')} AS score FROM (SELECT query_id, {emb('query')} AS v FROM f) q, dv)) WHERE rank <= 3),
-b AS (SELECT query_id, string_agg(CASE WHEN modality = 'image' THEN '[IMAGE | ' || printf('%.3f', score) || '] (URL: https://images.example/' || doc_id || ')' || {NL} || 'Visual content: ' || text ELSE '[' || upper(modality) || ' | ' || printf('%.3f', score) || ']' || {NL} || text END, {NL} || {NL} ORDER BY rank) AS context FROM h GROUP BY query_id),
-g AS (SELECT *, 'text' AS modality FROM f) {prompt_sql('g', 'b', 'Answer from text, images and tables.')}""")
-def multimodal_rag(spark, d):
+def multimodal_sql(modality: str, only: str) -> str:
+    def encoded(text, kind):
+        noisy = f"list_transform(list_zip({emb(text)}, {emb(text, salt='image')}), lambda z: CAST(CAST(z[1] AS FLOAT) + CAST(z[2] AS FLOAT) * CAST(0.1 AS FLOAT) AS DOUBLE))"
+        return f"CASE WHEN {kind} = 'image' THEN {noisy} ELSE {emb(text)} END"
+
+    return f"""WITH {ASKS}, {CORPUS}, m AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'image' WHEN doc_id % 3 = 1 THEN 'table' ELSE 'text' END AS modality FROM corpus), g AS (SELECT *, '{modality}' AS modality FROM f),
+dv AS (SELECT *, {encoded('text', 'modality')} AS v FROM m WHERE {only}), qv AS (SELECT query_id, {encoded('query', 'modality')} AS v FROM g),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.query_id, doc_id, text, modality, {cosine_sql('q.v', 'dv.v')} AS score FROM qv q, dv)) WHERE rank <= 3),
+b AS (SELECT query_id, string_agg(CASE WHEN modality = 'image' THEN '[IMAGE | ' || printf('%.3f', score) || '] (URL: https://images.example/' || doc_id || ')' || {NL} || 'Visual content: ' || text ELSE '[' || upper(modality) || ' | ' || printf('%.3f', score) || ']' || {NL} || text END, {NL} || {NL} ORDER BY rank) AS context FROM h GROUP BY query_id)
+{prompt_sql('g', 'b', 'Answer from text, images and tables.')}"""
+
+
+def media(spark, d):
     kind = F.when(F.col("doc_id") % 3 == 0, "image").when(F.col("doc_id") % 3 == 1, "table").otherwise("text")
-    docs = corpus(spark, d).select("doc_id", F.col("text").alias("content"), kind.alias("modality"), F.create_map(F.lit("url"), F.concat(F.lit("https://images.example/"), "doc_id")).alias("metadata"))
-    return P.multimodal(few_queries(spark).withColumn("modality", F.lit("text")), docs)
+    return corpus(spark, d).select("doc_id", F.col("text").alias("content"), kind.alias("modality"), F.create_map(F.lit("url"), F.concat(F.lit("https://images.example/"), "doc_id")).alias("metadata"))
+
+
+@query(multimodal_sql("text", "true"))
+def multimodal_rag(spark, d):
+    return P.multimodal(few_queries(spark).withColumn("modality", F.lit("text")), media(spark, d))
+
+
+@query(multimodal_sql("image", "modality = 'image'"))
+def multimodal_images(spark, d):
+    return P.multimodal(few_queries(spark).withColumn("modality", F.lit("image")), media(spark, d), only="image")
 
 
 TASKS = [(1, "Report how the index grew"), (2, "Compare the competitor with our strategy"), (3, "Which market trends matter, in %?"), (4, "Calculate the growth and compare it")]
@@ -265,9 +281,9 @@ LONG = f"lo AS (SELECT doc_id, i AS pos, s[i + 1] AS text FROM (SELECT doc_id, s
 AROUND = "string_agg(lo.text, ' ' ORDER BY lo.pos)"
 
 
-def windows_found(spark, d):
+def windows_found(spark, d, width=2):
     sents = C.sentence_index(documents(spark, d), "doc_id", "text")
-    return K.sentence_window_retrieve(few_queries(spark), sents, "doc_id", 2, 3)
+    return K.sentence_window_retrieve(few_queries(spark), sents, "doc_id", width, 3)
 
 
 WINDOWS = f"it AS (SELECT {{'doc': doc_id, 'pos': pos}} AS id, text FROM lo), {near_sql('ne', 'f', 'it', 3)}, wi AS (SELECT ne.query_id, ne.rank, ne.id.doc AS doc_id, ne.id.pos AS hit, ne.score, ne.text AS sentence, {AROUND} AS context FROM ne JOIN lo ON lo.doc_id = ne.id.doc AND lo.pos BETWEEN ne.id.pos - 2 AND ne.id.pos + 2 GROUP BY ALL)"
@@ -294,11 +310,12 @@ def words_sql(text: str) -> str:
     return f"len(list_filter(regexp_split_to_array({text}, '{WS}+'), lambda x: x <> ''))"
 
 
-@query(f"""WITH {ASKS}, {LONG}, {WINDOWS}, {CHUNKS}, {COMPRESSED}, un AS (SELECT 'sentence_window' AS strategy, query_id, sentence AS indexed_text, context FROM wi WHERE rank = 1 UNION ALL SELECT 'compression', query_id, text, context FROM co WHERE rank = 1)
+@query(f"""WITH {ASKS}, {LONG}, {WINDOWS}, {CHUNKS}, {COMPRESSED}, un AS (SELECT 'sentence_window' AS strategy, query_id, sentence AS indexed_text, context FROM wi WHERE rank = 1 UNION ALL SELECT 'compression', query_id, text, context FROM co WHERE rank = 1
+UNION ALL SELECT 'sentence_window_1', ne.query_id, ne.text, {AROUND} FROM ne JOIN lo ON lo.doc_id = ne.id.doc AND lo.pos BETWEEN ne.id.pos - 1 AND ne.id.pos + 1 WHERE ne.rank = 1 GROUP BY ALL)
 SELECT strategy, query_id, CAST({words_sql('indexed_text')} AS INTEGER) AS indexed, CAST({words_sql('context')} AS INTEGER) AS returned, round({words_sql('context')} / CAST({words_sql('indexed_text')} AS DOUBLE), 6) AS expansion FROM un""")
 def compare_strategies(spark, d):
     short = K.compress(few_queries(spark), corpus(spark, d), 3, 2, ident="doc_id").withColumn("indexed_text", F.col("text"))
-    named = {"sentence_window": windows_found(spark, d).withColumnRenamed("sentence", "indexed_text"), "compression": short}
+    named = {"sentence_window_1": windows_found(spark, d, 1).withColumnRenamed("sentence", "indexed_text"), "sentence_window": windows_found(spark, d).withColumnRenamed("sentence", "indexed_text"), "compression": short}
     return K.compare_strategies(named).withColumn("expansion", F.round("expansion", 6))
 
 

@@ -408,6 +408,15 @@ def maxsim(spark, d):
     return K.maxsim(q, rows, "query_id", "doc_id", "embedding").withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {MAXSIM}, mm AS (SELECT doc_id, sum(best) AS multi FROM b GROUP BY doc_id), x AS (SELECT vec_id % 20 AS doc_id, vec_id, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM ({E})),
+dm AS (SELECT doc_id, list(m ORDER BY i) AS v FROM (SELECT doc_id, i, avg(c) AS m FROM x GROUP BY doc_id, i) GROUP BY doc_id), qm AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(c) AS m FROM x WHERE vec_id % 50 = 0 GROUP BY i)),
+s AS (SELECT doc_id, {cosine_sql('qm.v', 'dm.v')} AS single, multi FROM dm JOIN mm USING (doc_id), qm)
+SELECT 0 AS query_id, doc_id, round(single, 6) AS single, round(multi, 6) AS multi, CAST(row_number() OVER (ORDER BY single DESC, doc_id) AS INTEGER) AS single_rank, CAST(row_number() OVER (ORDER BY multi DESC, doc_id) AS INTEGER) AS multi_rank FROM s""")
+def single_and_multi(spark, d):
+    q, rows = token_frames(spark, d)
+    return K.single_and_multi(q, rows, "query_id", "doc_id", "embedding").withColumn("single", F.round("single", 6)).withColumn("multi", F.round("multi", 6))
+
+
 @query(f"WITH {MAXSIM} SELECT 0 AS query_id, doc_id, query_pos, round(best, 6) AS best, doc_pos FROM b")
 def maxsim_breakdown(spark, d):
     q, rows = token_frames(spark, d)
