@@ -16,6 +16,7 @@ from skein.operators import ranking as K
 from skein.operators import retrieval as R
 from skein.operators import semantic as S
 from skein.plans import patterns as P
+from skein.sources import files
 from skein.plans.layout import numbered, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +189,17 @@ def estimate_costs(spark, d):
     return rows.select("source", "documents", F.round(estimates.cost(n, F.lit(400.0), F.lit(0.02)), 6).alias("cost"), F.round(estimates.storage_mib(n, F.lit(384)), 6).alias("mib"), F.round(estimates.latency(F.lit(7.432), n), 6).alias("ms"))
 
 
+# ---- sources
+
+
+@query(f"""SELECT CAST(id AS INTEGER) AS id, {trim("regexp_extract(coalesce(topic, ''), '^[^:' || chr(10) || ']*')")} AS topic, {trim("regexp_extract(replace(text, '---', '- -'), '^[^' || chr(10) || ']*')")} AS text FROM chunks WHERE text IS NOT NULL AND id IS NOT NULL""")
+def record_source(spark, d):
+    # every record written as a block of a record file, and read again
+    safe = F.replace("text", F.lit("---"), F.lit("- -"))
+    block = F.concat(F.lit("# head\n---\nCHUNK_ID: "), F.col("id").cast("string"), F.lit("\nTOPIC: "), F.coalesce("topic", F.lit("")), F.lit("\nTEXT: "), safe, F.lit("\n---\n"))
+    return files.records(table(spark, d, "chunks").where("text is not null and id is not null").select(block.alias("text")))
+
+
 # ---- chunkers
 
 FIXED = "SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, substring(text, CAST(i * {step} + 1 AS BIGINT), {size}) AS text, CAST(i * {step} AS INTEGER) AS start_pos, CAST(least(i * {step} + {size}, length(text)) AS INTEGER) AS end_pos FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {step}.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)"

@@ -301,6 +301,34 @@ def test_records(spark, tmp_path):
     assert [(r.id, r.topic, r.text) for r in rows] == [(1, "a", "one"), (2, None, "two")]
 
 
+def test_vector_index_grows(spark, tmp_path):
+    path = str(tmp_path / "index")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    files.append_index(one, path)
+    files.append_index(one.selectExpr("id + 1 as id", "v"), path)
+    assert sorted(r.id for r in files.read_index(spark, path).collect()) == [1, 2]
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    assert [r.text for r in files.whole_files(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo"]
+    assert files.inline(spark, [(1, "a")], "id int, t string").count() == 1
+
+
+def test_vertices_and_graphs_of_many_queries(spark):
+    v = spark.createDataFrame([("a", "A", "x"), ("b", "B", "y")], "id string, name string, description string")
+    assert [r.name for r in G.vertex(v, "b").collect()] == ["B"] and G.vertex(v, "z").count() == 0
+    e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c")])
+    starts = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, None)], "query_id int, start_pos int, id string")
+    got = sorted((r.query_id, r.visit, r.id) for r in G.traverse_all(e, starts, 2, 10).collect())
+    assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "b"), (2, 2, "a"), (2, 3, "c")]
+
+
+def test_refined_and_decided(spark):
+    queries = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 1, 0.9, "long text")], "query_id long, rank int, score double, text string")
+    web = spark.createDataFrame([("w",)], "text string")
+    row = P.corrective_context(hits, web, queries, refine=lambda text, query: F.concat(F.substring(text, 1, 4), query)).first()
+    assert row.context == "[VECTOR | 0.90] longa"
+
+
 def test_corrective_branches(spark):
     queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, query string")
     hits = spark.createDataFrame([(1, 1, 0.9, "x"), (1, 2, 0.5, "y"), (2, 1, 0.5, "z"), (3, 1, 0.1, "w")], "query_id long, rank int, score double, text string")
