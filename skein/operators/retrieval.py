@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,6 +51,28 @@ def condition(filters: dict) -> Column:
     return reduce(Column.__and__, parts) if parts else F.lit(True)
 
 
+#: What the words before a year ask of it.
+YEARS = {"since": "$gte", "from": "$gte", "after": "$gt", "before": "$lt", "until": "$lte", "in": "$eq", "of": "$eq"}
+
+
+def implied_filter(query: str, field: str = "year", values: dict[str, dict[str, str]] | None = None) -> dict:
+    """The metadata filter that a query implies: years behind words like since, before or in, and named values.
+
+    values maps fields to the words that stand for their values, as {"language": {"german": "de"}}. The first word of a
+    field decides; a query that implies nothing gives the empty filter.
+    """
+    words = re.findall(r"\w+", query.lower())
+    found: dict = {}
+    for before, word in zip(words, words[1:]):
+        if before in YEARS and re.fullmatch(r"(?:19|20)\d\d", word):
+            found.setdefault(field, {})[YEARS[before]] = int(word)
+    for name, known in (values or {}).items():
+        hit = next((known[w] for w in words if w in known), None)
+        if hit is not None:
+            found[name] = hit
+    return found
+
+
 def metadata_filter(df: DataFrame, filters: dict) -> DataFrame:
     return df.where(condition(filters))
 

@@ -144,6 +144,12 @@ def filter_or_contains(spark, d):
     return R.metadata_filter(table(spark, d, "chunks"), {"$or": [{"topic": "embeddings"}, {"year": {"$gt": 2023}}], "text": {"$contains": "Index"}}).select("id", "topic", "year")
 
 
+@query("SELECT id, topic, year, language FROM chunks WHERE year >= 2021 AND year < 2024 AND language IS NOT DISTINCT FROM 'de'")
+def implied_filter(spark, d):
+    want = R.implied_filter("German notes on retrieval since 2021 but before 2024", values={"language": {"german": "de", "french": "fr"}})
+    return R.metadata_filter(table(spark, d, "chunks"), want).select("id", "topic", "year", "language")
+
+
 # ---- vectors
 
 

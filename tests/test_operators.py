@@ -149,6 +149,12 @@ def test_filters_and_nulls(spark):
         R.condition({"t": {"$like": "a"}})
 
 
+def test_implied_filters():
+    assert R.implied_filter("papers since 2020 and before 2023") == {"year": {"$gte": 2020, "$lt": 2023}}
+    assert R.implied_filter("In 2021, what?") == {"year": {"$eq": 2021}} and R.implied_filter("2021 things") == {}
+    assert R.implied_filter("french or german", values={"language": {"german": "de", "french": "fr"}}) == {"language": "fr"}
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id", "cast(id as string) t").write.parquet(str(tmp_path / "t"))
     plan = R.metadata_filter(spark.read.parquet(str(tmp_path / "t")), {"id": {"$in": [1, 2]}, "t": {"$ne": "5"}})._jdf.queryExecution().executedPlan().toString()
