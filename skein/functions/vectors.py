@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Inner product; null where either vector is null or their lengths differ."""
-    product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), product)
+    """Inner product; null where either vector is null or their lengths differ, as the missing components are null."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
@@ -28,8 +27,7 @@ def cosine_eps(a: Column, b: Column, eps: float = 1e-9) -> Column:
 
 
 def l2_distance(a: Column, b: Column) -> Column:
-    gap = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), F.sqrt(gap))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def with_norm(a: Column, then) -> Column:

@@ -84,14 +84,14 @@ def literal_vector(values) -> Column:
 def top_k(df: DataFrame, score: Column, ident: str, k: int = 3, threshold: float | None = None) -> DataFrame:
     """The k rows of highest score with score and rank; ties go to the smaller id, null and NaN scores are not ranked.
 
-    One query needs no shuffle of the input: every task keeps k rows and the driver merges them.
+    One query needs no shuffle of the input: every task keeps k rows and the driver merges them. Scores are computed once:
+    those that are not ranked are last in order, and left out of the k rows afterwards.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    scored = df.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= F.lit(float(threshold)))
-    best = scored.orderBy(F.desc("score"), F.col(ident)).limit(k)
+    usable = F.get(F.transform(F.array(score.cast("double")), lambda s: F.when(~F.isnan(s), s)), F.lit(0))
+    best = df.withColumn("score", usable).orderBy(F.desc_nulls_last("score"), F.col(ident)).limit(k)
+    best = best.where(F.col("score").isNotNull() if threshold is None else F.col("score") >= F.lit(float(threshold)))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.col(ident))))
 
 

@@ -448,7 +448,7 @@ SELECT CAST(row_number() OVER (ORDER BY g DESC, text DESC) AS INTEGER) AS rank,
 def two_stage(spark, d):
     # the share of the query's words stands for a cross-encoder: a Python scorer of pairs, which sees the first ten only
     rows = table(spark, d, "chunks").where("text is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.max("text").alias("text")).withColumn("query", F.lit("the order of the index and of the vectors"))
-    first = V.cosine(V.pseudo_embedding(F.col("query")), V.pseudo_embedding(F.col("text")))
+    first = V.dot(V.normalize(V.pseudo_embedding(F.lit("the order of the index and of the vectors"))), V.normalize(V.pseudo_embedding(F.col("text"))))
     out = K.two_stage(rows, first, models.pair_scorer(models.shared_words)(F.col("query"), F.col("text")), "id", tie="text")
     return out.select("rank", "id", "first_rank", r6("score"))
 
@@ -474,7 +474,7 @@ def small_to_big(spark, d):
     parents, children = C.parent_child(documents(spark, d), "doc_id", "text")
     name = F.concat_ws("/", "doc_id", "parent_id")
     query_vector = V.pseudo_embedding(F.lit("how does the index stay small"))
-    return K.small_to_big(children.withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_id")).withColumn("parent_id", name), parents.withColumn("parent_id", name), V.cosine_eps(V.pseudo_embedding(F.col("text")), query_vector), 5).select("parent_id", "child_id", "rank", r6("score"), "context")
+    return K.small_to_big(children.withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_id")).withColumn("parent_id", name), parents.withColumn("parent_id", name), V.dot(V.normalize(V.pseudo_embedding(F.col("text"))), V.normalize(query_vector)), 5).select("parent_id", "child_id", "rank", r6("score"), "context")
 
 
 @query(f"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
