@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import routing
@@ -372,3 +374,31 @@ def test_shared_ends_of_repetitive_texts(spark, tmp_path):
 def test_shared_ends_of_long_chunks(spark):
     rows = spark.createDataFrame([(1, 0, "ab" * 1250), (1, 1, "ab" * 1250 + "c")], "doc_id long, chunk_id int, text string")
     assert [r.shared for r in C.shared_ends(rows, "doc_id").collect()] == [2500]
+
+
+def test_best_in_blocks_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 8))
+    x[rng.integers(0, 6000, 1500)] = x[7]
+    items = spark.createDataFrame([(i, f"t{i * 7919 % 6000:04d}", v.tolist()) for i, v in enumerate(x)] + [(6000, "null", None), (6001, "nan", [float("nan")] * 8), (6002, "short", [1.0])], "id long, t string, v array<double>").repartition(3).cache()
+    q = np.vstack([x[7], x[8], rng.normal(size=(1200, 8)), np.zeros(8)])
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(-1, None)], "q long, w array<double>")
+    found = R.best_in_blocks(asked, items, "q", "w", "id", "t", "v", 3).join(items.select("id", "t"), "id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("t")))
+    got = {(r.query_id, r.n): r.id for r in found.withColumn("n", place).where("n <= 3").collect()}
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sims, last = np.round(unit(q) @ unit(x).T, 12), np.array([i * 7919 % 6000 for i in range(6000)])
+    want = {(i, n + 1): int(j) for i, row in enumerate(sims) for n, j in enumerate(np.lexsort((-last, -row))[:3])}
+    assert got == want
+
+
+def test_corrective_pairs_hold_no_texts(spark):
+    # texts of all pairs of a query and a document filled the disk
+    queries = spark.createDataFrame([(i, f"q{i}") for i in range(40)], "query_id long, query string")
+    hits = spark.createDataFrame([(i, 1, 0.1, "w") for i in range(40)], "query_id long, rank int, score double, text string")
+    web = spark.createDataFrame([(f"web{i}",) for i in range(500)], "text string")
+    context = P.corrective_context(hits, web, queries)
+    assert "NestedLoopJoin" not in context._jdf.queryExecution().executedPlan().toString()
+    near = P.retrieve(queries.withColumn("query", F.concat(F.lit("detailed explanation of "), "query")), web)
+    want = {q: "\n".join(f"[WEB] {r.text}" for r in sorted(rows, key=lambda r: r.rank)) for q, rows in ((i, [r for r in near.collect() if r.query_id == i]) for i in range(40))}
+    assert {r.query_id: r.context for r in context.collect()} == want
