@@ -402,3 +402,12 @@ def test_corrective_pairs_hold_no_texts(spark):
     near = P.retrieve(queries.withColumn("query", F.concat(F.lit("detailed explanation of "), "query")), web)
     want = {q: "\n".join(f"[WEB] {r.text}" for r in sorted(rows, key=lambda r: r.rank)) for q, rows in ((i, [r for r in near.collect() if r.query_id == i]) for i in range(40))}
     assert {r.query_id: r.context for r in context.collect()} == want
+
+
+def test_memory_of_any_number_of_turns(spark, monkeypatch):
+    # more turns than one set of queries may hold ended in an error
+    turns = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"what is {c * 10 + t}") for c in range(30) for t in range(5)], "conv_id long, turn long, role string, text string")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    whole = sorted(map(tuple, P.with_memory(turns, docs).collect()))
+    monkeypatch.setattr(R, "MOST_QUERIES", 16)
+    assert len(whole) == 90 and sorted(map(tuple, P.with_memory(turns, docs).collect())) == whole
