@@ -19,58 +19,68 @@ def normal_source(column):
     return F.regexp_replace(bare, r"(?U)[\s\-_]+", "_")
 
 
-def balance(sizes: DataFrame, targets: DataFrame, solve: bool = True) -> list[dict]:
+def balance(sizes: DataFrame, targets: DataFrame) -> list[dict]:
     """Solve the dual for every source; returns its report rows, one per target.
 
     sizes has (source, n_tokens, documents): a histogram of documents by size. Rates r(n) = min(max_passes,
     exp(b n / mean)) tilt the documents of a source so that their tokens meet the target: b is the multiplier of the
-    token constraint, and the gradient of the dual is the goal less the tokens at b. The first aggregation gives the
-    gradient's limits along the ray: it is the goal where b falls without bound, and where b grows without bound all
-    documents are used max_passes times. Where it is positive even there, the dual has no finite solution, and the
-    source is short. For the others each round is one distributed aggregation that returns a row per source, the
-    tokens at the current multipliers and their derivative, for Newton's step, kept inside the bracket. Rounds go on
-    until every source meets its goal or its bracket cannot shrink; an unmet bound on their number raises.
+    token constraint, and the gradient of the dual is the goal less the tokens at b. Each round is one distributed
+    aggregation that returns a row per source, the tokens at the current multipliers, their derivative, for Newton's step,
+    kept inside the bracket, and how many documents are still below max_passes. Where none is and the gradient is still
+    positive, it stays so however far b grows: the dual has no finite solution, and the source is short; so is one without
+    documents, whose gradient is its goal. Rounds go on until every source meets its goal, is short, or its bracket cannot
+    shrink; an unmet bound on their number raises.
     """
     spark = sizes.sparkSession
     limits = sizes.groupBy("source").agg(F.sum("documents").alias("documents"), F.sum(F.col("documents") * F.col("n_tokens")).alias("tokens"))
     state: dict[str, dict] = {}
     for r in limits.join(targets, "source", "right").collect():
         have, goal = float(r["tokens"] or 0), float(r["goal"])
-        short = goal - have * int(r["max_passes"]) > 0
+        short = goal > 0 and not have
         state[r["source"]] = r.asDict() | {"have": have, "docs": float(r["documents"] or 0), "short": short, "mean": have / float(r["documents"]) if have else 1.0, "b": 0.0, "low": -math.inf, "high": math.inf, "rounds": 0, "done": short or goal <= 0}
     for _ in range(MOST_ROUNDS):
         live = {k: s for k, s in state.items() if not s["done"]}
-        if not live or not solve:
+        if not live:
             return [s | {"slope": s["b"] / s["mean"]} for s in state.values()]
         now = spark.createDataFrame([(k, s["b"] / s["mean"], float(s["max_passes"])) for k, s in live.items()], "source string, slope double, top double")
         tilt = F.exp(F.least(F.col("slope") * F.col("n_tokens"), F.lit(50.0)))
         rate = F.least(F.col("top"), tilt)
         weight = F.col("documents") * F.col("n_tokens")
-        got = sizes.join(now, "source").groupBy("source").agg(F.sum(weight * rate).alias("tokens"), F.sum(F.when(tilt < F.col("top"), weight * F.col("n_tokens") * rate).otherwise(0.0)).alias("bend"))
+        got = sizes.join(now, "source").groupBy("source").agg(F.sum(weight * rate).alias("tokens"), F.sum(F.when(tilt < F.col("top"), weight * F.col("n_tokens") * rate).otherwise(0.0)).alias("bend"), F.sum(F.when(tilt < F.col("top"), F.col("documents")).otherwise(0)).alias("below"))
         for r in got.collect():
-            step_to(state[r["source"]], r["tokens"], r["bend"])
+            step_to(state[r["source"]], r["tokens"], r["bend"], r["below"])
     raise RuntimeError(f"the mix is not balanced after {MOST_ROUNDS} rounds")
 
 
-def step_to(s: dict, tokens: float, bend: float) -> None:
-    """Move a source's multiplier by Newton's step, by half the bracket, or outwards where one side is still open."""
+def step_to(s: dict, tokens: float, bend: float, below: int) -> None:
+    """Move a source's multiplier by Newton's step, by half the bracket, or outwards where one side is still open.
+
+    A goal that all documents max_passes times reach or miss by no more than CLOSE is only met from above: the multiplier
+    moves outwards until the gradient turns or no document is below max_passes, which tells the short ones exactly.
+    """
     s["rounds"] += 1
-    miss, b = tokens - float(s["goal"]), s["b"]
+    goal = float(s["goal"])
+    miss, b = tokens - goal, s["b"]
     s["low" if miss < 0 else "high"] = b
-    if abs(miss) <= CLOSE * float(s["goal"]) or s["high"] - s["low"] <= 1e-13 * max(1.0, abs(b)):
+    met = abs(miss) <= CLOSE * goal
+    edge = met and miss < 0 and s["have"] * s["max_passes"] - goal <= CLOSE * goal
+    s["short"] = miss < 0 and not below
+    if s["short"] or (met and not edge) or s["high"] - s["low"] <= 1e-13 * max(1.0, abs(b)):
         s["done"] = True
         return
     step = b - miss * s["mean"] / bend if bend > 0 else math.inf
     outwards = b + math.copysign(max(1.0, abs(b)), -miss)
+    if edge and not math.isfinite(s["high"]):
+        s["b"] = outwards
+        return
     closed = math.isfinite(s["low"]) and math.isfinite(s["high"])
     s["b"] = step if s["low"] < step < s["high"] and (closed or abs(step - b) <= abs(outwards - b)) else (s["low"] + s["high"]) / 2 if closed else outwards
 
 
-def mix_plan(documents: DataFrame, targets: DataFrame, ident: str | None = None, source: str = "source", tokens: str = "n_tokens", solve: bool = True) -> tuple[DataFrame, DataFrame]:
+def mix_plan(documents: DataFrame, targets: DataFrame, ident: str | None = None, source: str = "source", tokens: str = "n_tokens") -> tuple[DataFrame, DataFrame]:
     """(plan, sized): per target source the fitted tilt, and the documents as (_id, _key, _n).
 
-    plan: source (as in targets), key, target_share, max_passes, goal, have, documents, short, slope, rounds. Without
-    solve only the dual's limits are looked at: short is known, slope is 0.
+    plan: source (as in targets), key, target_share, max_passes, goal, have, documents, short, slope, rounds.
     """
     sized = documents.select((F.col(ident) if ident else F.lit(None)).alias("_id"), normal_source(F.col(source)).alias("_key"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("_n"))
     histogram = cut(sized.groupBy(F.col("_key").alias("source"), F.col("_n").alias("n_tokens")).agg(F.count("*").alias("documents")))
@@ -79,7 +89,7 @@ def mix_plan(documents: DataFrame, targets: DataFrame, ident: str | None = None,
     wanted = targets.where(F.col("source").isNotNull()).groupBy(normal_source(F.col("source")).alias("source")).agg(
         F.min(F.col("source")).alias("name"), F.sum(share).alias("target_share"), F.max(F.greatest(F.coalesce(F.col("max_passes"), F.lit(0)), F.lit(0))).cast("int").alias("max_passes"))
     wanted = wanted.crossJoin(everything).withColumn("goal", F.col("target_share") * F.col("everything"))  # one row on the right
-    rows = [(s["name"], s["source"], float(s["target_share"]), int(s["max_passes"]), float(s["goal"]), float(s["have"]), int(s["docs"]), bool(s["short"]), float(s["slope"]), int(s["rounds"])) for s in balance(histogram.where("n_tokens > 0 and source is not null"), wanted, solve)]
+    rows = [(s["name"], s["source"], float(s["target_share"]), int(s["max_passes"]), float(s["goal"]), float(s["have"]), int(s["docs"]), bool(s["short"]), float(s["slope"]), int(s["rounds"])) for s in balance(histogram.where("n_tokens > 0 and source is not null"), wanted)]
     schema = "source string, key string, target_share double, max_passes int, goal double, have double, documents long, short boolean, slope double, rounds int"
     return documents.sparkSession.createDataFrame(rows, schema), sized
 
@@ -140,5 +150,5 @@ def mix_sources(documents: DataFrame, targets: DataFrame, ident: str, source: st
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, source: str = "source", tokens: str = "n_tokens") -> DataFrame:
-    """The targets that cannot be met within their passes: those whose dual has no finite solution (see balance)."""
-    return mix_plan(documents, targets, None, source, tokens, solve=False)[0].where("short").select("source")
+    """The targets that cannot be met within their passes: those whose dual, solved by balance(), has no finite solution."""
+    return mix_plan(documents, targets, None, source, tokens)[0].where("short").select("source")

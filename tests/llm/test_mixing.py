@@ -67,6 +67,19 @@ def test_unsettled_rounds_raise(spark, monkeypatch):
         balance(sizes, targets)
 
 
+def test_short_sources_follow_from_the_rounds(spark, monkeypatch):
+    _, docs, targets = frames(spark)
+    plan = {r.source: r for r in mix_plan(docs, targets)[0].collect()}
+    assert plan["code"].short and plan["code"].rounds > 1 and not plan["books"].short and plan["books"].rounds > 1
+    # all documents twice are 12,900 tokens; a millionth of a token more or less decides
+    sizes = spark.createDataFrame([(k, n, d) for k in "abcd" for n, d in ((3, 50), (700, 9))], "source string, n_tokens long, documents long")
+    goals = spark.createDataFrame([("a", 12900.0, 2), ("b", 12900.000001, 2), ("c", 12899.999999, 2), ("d", 6450.5, 1)], "source string, goal double, max_passes int")
+    assert {s["source"]: s["short"] for s in balance(sizes, goals)} == {"a": False, "b": True, "c": False, "d": True}
+    monkeypatch.setattr("skein.llm.mixing.MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        short_sources(docs, targets)
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, "a", 0), (None, "A ", 10), (3, None, 5)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.2, 1), ("A", 0.2, 2), (None, 0.5, 1), ("b", None, None)], "source string, target_share double, max_passes int")
