@@ -411,3 +411,38 @@ def test_memory_of_any_number_of_turns(spark, monkeypatch):
     whole = sorted(map(tuple, P.with_memory(turns, docs).collect()))
     monkeypatch.setattr(R, "MOST_QUERIES", 16)
     assert len(whole) == 90 and sorted(map(tuple, P.with_memory(turns, docs).collect())) == whole
+
+
+def test_memory_rag_takes_all_conversations(spark, tmp_path):
+    # only every fiftieth user's turns were read; turns of no user have no query_id, as in the SQL
+    from skein import registry
+
+    events = [(i, f"2024-01-01 00:00:{i:02}", (1, 2, 50, None)[i % 4], ("view", None, "click")[i % 3]) for i in range(40)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i % 40, f"text {i}") for i in range(60)], "id int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    rows = registry.QUERIES["memory_rag"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id or 0, r.turn) for r in rows) == [(c, t) for c in (0, 1, 2, 50) for t in range(0, 10, 2)]
+    assert {r.context for r in rows if r.conv_id is None} == {""} and not any(r.query_id for r in rows if r.conv_id is None)
+
+
+def test_pairs_of_blocks_keep_ties_and_types(spark, monkeypatch):
+    # blocks of both sides: the same rows as one set of queries, for doubles and floats, equal vectors and unusable ones
+    odd = [None, [1.0], [float("nan")] * 3, [0.0, 0.0, 0.0]]
+    vectors = [[float(i % 7), float(i % 5) - 2, float(i % 3)] for i in range(210)] + odd
+    for kind in ("double", "float"):
+        queries = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(vectors[:90] + odd)], f"q string, v array<{kind}>").repartition(3)
+        items = spark.createDataFrame([(i, f"t{i % 50}", v) for i, v in enumerate(vectors)], "id long, t string, v array<double>").repartition(5)
+
+        def best():
+            rows = R.best_in_blocks(queries, items, "q", "v", "id", "t", "v", 4).join(items, "id").selectExpr("query_id", "score", "t").collect()
+            by = {}
+            for r in rows:
+                by.setdefault(r.query_id, []).append((r.score, r.t))
+            return {q: sorted(x, reverse=True)[:4] for q, x in by.items()}
+
+        whole = best()
+        with monkeypatch.context() as m:
+            m.setattr(R, "MOST_QUERIES", 16)
+            m.setattr(R, "PACKED_ITEMS", 20)
+            m.setattr(R, "TASK_ITEMS", 70)
+            assert len(whole) == 91 and best() == whole
